@@ -1,6 +1,9 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
+from .mixing import op8_mixing
 from .quality_rules import op5_quality_rules
+from .secret_scan import op7_secret_scan
+from .sharding import OP3_SQL, op3_sharding
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op3_sharding": op3_sharding, "op5_quality_rules": op5_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing}
+ORACLE: dict[str, str] = {"op3_sharding": OP3_SQL}
