@@ -1,9 +1,11 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from .mixing import op8_mixing
+from .packing import op6_packing
 from .quality_rules import op5_quality_rules
 from .secret_scan import op7_secret_scan
 from .sharding import OP3_SQL, op3_sharding
+from .token_counts import op2_token_counts
 
-QUERIES = {"op3_sharding": op3_sharding, "op5_quality_rules": op5_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing}
+QUERIES = {"op2_token_counts": op2_token_counts, "op6_packing": op6_packing, "op3_sharding": op3_sharding, "op5_quality_rules": op5_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing}
 ORACLE: dict[str, str] = {"op3_sharding": OP3_SQL}
