@@ -1,5 +1,8 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
+from .embedding_dedup import op1_embedding_dedup
+from .language_id import op9_language_id
+from .minhash_dedup import op10_minhash_dedup
 from .mixing import op8_mixing
 from .packing import op6_packing
 from .quality_rules import op5_quality_rules
@@ -7,5 +10,5 @@ from .secret_scan import op7_secret_scan
 from .sharding import OP3_SQL, op3_sharding
 from .token_counts import op2_token_counts
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op6_packing": op6_packing, "op3_sharding": op3_sharding, "op5_quality_rules": op5_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_sharding, op5_quality_rules, op6_packing, op7_secret_scan, op8_mixing, op9_language_id, op10_minhash_dedup)}
 ORACLE: dict[str, str] = {"op3_sharding": OP3_SQL}
