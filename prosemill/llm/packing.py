@@ -69,7 +69,7 @@ def encoded(df: DataFrame, text: str = "text", key: str = "doc_id", vocab: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [encoder.ids(t or "") + end for t in part.column(1).to_pylist()]
+                ids = [x + end for x in encoder.ids([t or "" for t in part.column(1).to_pylist()])]
                 curve = curve_keys([np.frombuffer(x, encoder.dtype) for x in ids])
                 yield pa.record_batch([part.column(0), pa.array(curve, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["key", "curve", "n_tokens", "width", "ids"])
 

@@ -55,9 +55,10 @@ def token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", vocab:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    ends = sections(t or "")
-                    n, cross = attribute(encoder.spans(t or ""), ends)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for i, (t, spans) in enumerate(zip(texts, encoder.spans(texts))):
+                    ends = sections(t)
+                    n, cross = attribute(spans, ends)
                     for c, v in zip(cols, (np.full(len(ends), i), np.arange(len(ends)), np.concatenate([[0], ends[:-1]]), ends, n, cross)):
                         c.append(v)
                 row, *rest = [np.concatenate(c) for c in cols]
