@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a derived table may be broadcast.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -221,3 +221,16 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WOR
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(docs(spark, sf_dir)).select("doc_id", "class_id", "kept")
+
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df that classes() keeps, with their columns."""
+    told = classes(df, text, key, n, similarity).filter("gid is not null")
+    told = durable(told.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("\x00")).alias("_k"), F.col("gid").alias("_g")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).filter("not _kept or _n > 1"))
+    rows = df.withColumns({"_k": F.coalesce(F.col(key).cast("string"), F.lit("\x00")), "_g": F.md5(text)})
+    out = rows.join(small(told.select("_k", "_g")), ["_k", "_g"], "left_anti").select(*df.columns)
+    repeated = told.filter("_kept")
+    if repeated.isEmpty():
+        return out
+    twice = rows.join(small(repeated.select("_k", "_g")), ["_k", "_g"]).dropDuplicates(["_k", "_g"])
+    return out.unionByName(twice.select(*df.columns))

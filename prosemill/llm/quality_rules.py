@@ -134,3 +134,18 @@ def quality_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of df, with their columns, that quality_rules would keep; signals are computed again in place of a join of the texts."""
+    own = F.coalesce(F.col(stratum).cast("string"), F.lit("\x00"))
+    good = durable(labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg((F.min("quality") > 0).alias("good")))
+    rates = _rates()
+    voters = signals(df.select(key, F.col(text), own.alias("stratum")).join(small(good), key), text).filter(~base_failed())
+    cuts = durable(fit_cutoffs(voters.select("stratum", "good", *[c.alias(n) for n, c in rates.items()]), risk=risk, delta=delta))
+    names = df.columns
+    judged = signals(df.select(F.struct(*names).alias("_row"), F.col(text).alias("_text"), own.alias("stratum")), "_text").join(small(cuts), "stratum", "left").filter(~base_failed())
+    over = F.lit(False)
+    for n, c in rates.items():
+        over = over | F.coalesce(c >= F.col("cut")[n], F.lit(False))
+    return judged.filter(~over).select(*[F.col("_row")[n].alias(n) for n in names])
