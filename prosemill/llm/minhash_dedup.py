@@ -11,6 +11,7 @@ the members of a large group of near copies share would weigh next to nothing, a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ SAMPLES, ROWS = 100, 5
 RARE, FLOOR = 0.005, 0.97
 #: Shingles dealt to the bins for each text at least.
 DEALT = 512
-#: Members up to which all pairs of a bucket are candidates; in larger ones each round compares all with the least.
-PAIRS = 24
+#: Members of a bucket, and members of a larger one that its lead is not linked with, up to which all pairs of different classes are candidates; beyond
+#: that, rounds compare all that are left with one of them and leave out those linked with it, until few are left.
+PAIRS, LEFT = 64, 256
 CHUNK = 4_000_000
 
 
@@ -178,7 +180,8 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WOR
     rows = stored(sketches(df, text, key, weights, n).withColumn("uid", F.monotonically_increasing_id()))
     first = durable(rows.filter("gid is not null").groupBy("gid").agg(F.min(F.struct("key", "uid")).alias("least"), F.first("bands").alias("bands")))
     each = first.select("gid", F.explode("bands").alias("bk")).distinct()
-    shared = each.groupBy("bk").agg(F.count("*").alias("m"), F.min("gid").alias("lead")).filter("m > 1")
+    lead = F.when(F.col("bk") % 2 == 0, F.min("gid")).otherwise(F.max("gid"))  # two orders, so that bands differ in whom they compare with
+    shared = each.groupBy("bk").agg(F.count("*").alias("m"), lead.alias("lead")).filter("m > 1")
     buckets = durable(each.join(shared, "bk").select("bk", "m", "lead", "gid"))
     need = durable(buckets.select("gid").distinct().join(first.select("gid", F.col("least.key").alias("key")), "gid"))
     texts = df.select(F.md5(text).alias("gid"), F.col(key).alias("key"), F.col(text).alias("text"))
@@ -195,20 +198,25 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WOR
 
     now = durable(with_class(with_class(buckets, "gid"), "lead"))
     few = now.filter(F.col("m") <= PAIRS).select("bk", "gid", "gid_c")
-    odd = few.groupBy("bk").agg(F.min("gid_c").alias("lo"), F.max("gid_c").alias("hi")).filter("lo != hi").select("bk")
-    few = few.join(odd, "bk", "left_semi")
-    pairs = order(few.join(few.select("bk", F.col("gid").alias("other"), F.col("gid_c").alias("other_c")), "bk").filter("gid < other and gid_c != other_c"))
-    many = now.filter((F.col("m") > PAIRS) & (F.col("gid_c") != F.col("lead_c"))).select("bk", "gid", "gid_c")
+    rest = durable(now.filter((F.col("m") > PAIRS) & (F.col("gid_c") != F.col("lead_c"))).select("bk", "gid", "gid_c"))
+    parts = [links]
     while True:
-        many = durable(many.join(many.groupBy("bk").agg(F.count("*").alias("left"), F.min("gid").alias("other")).filter("left > 1"), "bk"))
-        pairs = durable(pairs.unionByName(order(many)).distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+        sizes = rest.groupBy("bk").agg(F.count("*").alias("left"), F.min("gid").alias("other"))
+        rest = durable(rest.join(sizes.filter("left > 1"), "bk"))
+        few = few.unionByName(rest.filter(F.col("left") <= LEFT).select("bk", "gid", "gid_c"))
+        rest = rest.filter(F.col("left") > LEFT)
+        if rest.isEmpty():
             break
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(durable(verified(pairs, texts, weights, n, similarity)))
-        joined = durable(components(links))
-        many = with_class(with_class(many.drop("gid_c", "left"), "gid"), "other").filter("gid_c != other_c").select("bk", "gid", "gid_c")
-        pairs = pairs.limit(0)
+        stars = durable(order(rest).join(tested, ["a", "b"], "left_anti"))
+        parts.append(durable(verified(stars, texts, weights, n, similarity)))
+        hit = parts[-1].unionByName(parts[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("gid"), F.col("b").alias("other"))
+        rest = durable(rest.filter("gid != other").join(hit, ["gid", "other"], "left_anti").select("bk", "gid", "gid_c"))
+    odd = few.groupBy("bk").agg(F.min("gid_c").alias("lo"), F.max("gid_c").alias("hi")).filter("lo != hi").select("bk")
+    few = durable(few.join(odd, "bk", "left_semi"))
+    across = few.join(few.select("bk", F.col("gid").alias("other"), F.col("gid_c").alias("other_c")), "bk").filter("gid < other and gid_c != other_c")
+    pairs = durable(order(across).join(tested, ["a", "b"], "left_anti"))
+    parts.append(durable(verified(pairs, texts, weights, n, similarity)))
+    joined = durable(components(reduce(DataFrame.unionByName, parts)))
 
     member = first.select("gid", "least").join(joined.withColumnRenamed("node", "gid"), "gid").select("gid", "component", "least")
     heads = member.groupBy("component").agg(F.min("least").alias("head"))
