@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = re.compile(rb"[\t-\r ]")
+CUT = 1 << 20
 _POWERS: list[np.ndarray] = []
 #: Bits of a shingle's hash; the others hold the document's place in its batch while sorting.
 HASH_BITS = 54
@@ -37,8 +41,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each text): runs of characters other than ASCII white space."""
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    """(hash of each word, words of each text): runs of characters other than ASCII white space.
+
+    Works on pieces of about CUT bytes, long texts being cut at white space, so that its memory doesn't grow with a text."""
+    groups: list[list[bytes]] = [[]]
+    owner, size = [], 0
+    for i, t in enumerate(texts):
+        raw, at = (t or "").encode("utf-8", "replace"), 0
+        while at <= len(raw):
+            cut = _BLANK.search(raw, at + CUT) if len(raw) - at > CUT else None
+            end = cut.start() if cut else len(raw)
+            if size + end - at > CUT and groups[-1]:
+                groups.append([])
+                size = 0
+            groups[-1].append(raw[at:end])
+            owner.append(i)
+            size, at = size + end - at, end if cut else len(raw) + 1
+    done = [_words(g) for g in groups]
+    counts = np.bincount(owner, weights=np.concatenate([c for _, c in done]), minlength=len(texts)) if owner else np.zeros(0)
+    return np.concatenate([h for h, _ in done]), counts.astype(np.int64)
+
+
+def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
