@@ -6,13 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.catalogue import NAMESPACE, PROFILE_CONFIGS, PROFILES, RULES
 from .lint import lint
 
 _FINDING = "array<struct<ruleId:string,rule:string,line:int,column:int,excerpt:string,messageIncludes:string>>"
-GOLDSET = T.StructType.fromDDL(
+GOLDSET = (
     "id string, profile string, text string, expectedRules array<string>, expected array<string>, expectedByProfile map<string,array<string>>, expectedCounts map<string,int>, "
     f"expectedCountsByProfile map<string,map<string,int>>, expectedFindings {_FINDING}, expectedFindingsByProfile map<string,{_FINDING}>, review struct<status:string,decision:string,reason:string>, domain string, category string, note string, origin string, sourceFile string, rightsNote string"
 )

@@ -6,7 +6,6 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.config import glob_pattern
 
@@ -46,16 +45,15 @@ def table_documents(spark: SparkSession, sf_dir: str, table: str = "documents",
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("string").alias("path"), F.col(text).alias("text"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON-lines file with their line number and, where a line can't be read, the line itself in `corrupt`; blank lines are skipped."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "raw"))
-    full = T.StructType([*schema.fields, T.StructField("corrupt", T.StringType())])
-    rows = whole.filter(F.trim("raw") != "").select((F.col("pos") + 1).alias("line_no"), F.from_json("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("r"))
+    rows = whole.filter(F.trim("raw") != "").select((F.col("pos") + 1).alias("line_no"), F.from_json("raw", f"{schema}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("r"))
     return rows.select("line_no", "r.*")
 
 
 OCCURRENCE = "array<struct<column:int,index:int,length:int,excerpt:string>>"
-REPORT = T.StructType.fromDDL(f"tool string, version string, language string, files array<struct<path:string,messages:array<struct<ruleId:string,severity:string,line:int,column:int,index:int,length:int,message:string,excerpt:string,occurrences:{OCCURRENCE}>>>>")
+REPORT = f"tool string, version string, language string, files array<struct<path:string,messages:array<struct<ruleId:string,severity:string,line:int,column:int,index:int,length:int,message:string,excerpt:string,occurrences:{OCCURRENCE}>>>>"
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
