@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a derived table may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Rows a task of compact() reads, and its least number of tasks.
+TASK_ROWS, TASKS = 50_000, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +31,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """A durable table read by as many tasks as its counted rows need, so that rounds over few rows don't write a file for each of many partitions."""
+    return df.coalesce(max(TASKS, math.ceil(df.count() / TASK_ROWS)))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files and checkpoints that nothing refers to any more; for the end of a round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df computed once as compressed Parquet in the shared folder; for wide rows, whose columns are read apart."""
     spark = df.sparkSession

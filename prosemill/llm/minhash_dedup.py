@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs, durable, small, stored
+from .common import BROADCAST_ROWS, compact, docs, durable, small, stored, tidy
 from .components import components
 from .shingles import bags, batched, mix
 
@@ -167,8 +167,11 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, n: int, simil
                     ok.append(False)
             yield pa.record_batch([c.filter(pa.array(ok)) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    with_b = pairs.join(texts.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
+    if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # only the texts of few pairs are dealt out
+        ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        texts = texts.join(F.broadcast(ids), "rid", "left_semi")
+    with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
+    return with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,47 +181,48 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WOR
     Null texts and texts without words are classes of their own each. Of repeated rows of the least key one is kept. An empty table gives an empty result."""
     weights = Weights(*frequent(df, text, n))
     rows = stored(sketches(df, text, key, weights, n).withColumn("uid", F.monotonically_increasing_id()))
-    first = durable(rows.filter("gid is not null").groupBy("gid").agg(F.min(F.struct("key", "uid")).alias("least"), F.first("bands").alias("bands")))
-    each = first.select("gid", F.explode("bands").alias("bk")).distinct()
-    lead = F.when(F.col("bk") % 2 == 0, F.min("gid")).otherwise(F.max("gid"))  # two orders, so that bands differ in whom they compare with
-    shared = each.groupBy("bk").agg(F.count("*").alias("m"), lead.alias("lead")).filter("m > 1")
-    buckets = durable(each.join(shared, "bk").select("bk", "m", "lead", "gid"))
-    need = durable(buckets.select("gid").distinct().join(first.select("gid", F.col("least.key").alias("key")), "gid"))
+    first = durable(rows.filter("gid is not null").groupBy("gid").agg(F.min(F.struct("key", "uid")).alias("least"), F.first("bands").alias("bands")).withColumn("rid", F.monotonically_increasing_id()))
+    each = first.select("rid", F.explode(F.array_distinct("bands")).alias("bk"))
+    signed = F.when(F.col("bk") % 2 == 0, F.col("rid")).otherwise(-F.col("rid") - 1)  # two orders, so that bands differ in whom they compare with
+    shared = each.groupBy("bk").agg(F.count("*").alias("m"), F.min(signed).alias("s")).filter("m > 1").select("bk", "m", F.expr("if(s < 0, -s - 1, s)").alias("lead"))
+    buckets = compact(durable(each.join(shared, "bk").select("bk", "m", "lead", "rid")))
+    need = compact(durable(buckets.select("rid").distinct().join(first.select("rid", "gid", F.col("least.key").alias("key")), "rid")))
     texts = df.select(F.md5(text).alias("gid"), F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = stored(texts.join(small(need), ["gid", "key"]).groupBy("gid").agg(F.first("text").alias("text")))
+    texts = stored(texts.join(small(need), ["gid", "key"]).groupBy("rid").agg(F.first("text").alias("text")))
 
-    order = lambda p: p.select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b")).filter("a != b").distinct()
-    tested = durable(order(buckets.select("gid", F.col("lead").alias("other"))))
-    links = durable(verified(tested, texts, weights, n, similarity))
+    order = lambda p: p.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).filter("a != b").distinct()
+    tested = compact(durable(order(buckets.select("rid", F.col("lead").alias("other")))))
+    links = compact(durable(verified(tested, texts, weights, n, similarity)))
     joined = durable(components(links))
 
     def with_class(t: DataFrame, column: str) -> DataFrame:
         c = joined.select(F.col("node").alias(column), F.col("component").alias(f"{column}_c"))
         return t.join(c, column, "left").withColumn(f"{column}_c", F.coalesce(f"{column}_c", column))
 
-    now = durable(with_class(with_class(buckets, "gid"), "lead"))
-    few = now.filter(F.col("m") <= PAIRS).select("bk", "gid", "gid_c")
-    rest = durable(now.filter((F.col("m") > PAIRS) & (F.col("gid_c") != F.col("lead_c"))).select("bk", "gid", "gid_c"))
+    now = compact(durable(with_class(with_class(buckets, "rid"), "lead")))
+    few = now.filter(F.col("m") <= PAIRS).select("bk", "rid", "rid_c")
+    rest = compact(durable(now.filter((F.col("m") > PAIRS) & (F.col("rid_c") != F.col("lead_c"))).select("bk", "rid", "rid_c")))
     parts = [links]
     while True:
-        sizes = rest.groupBy("bk").agg(F.count("*").alias("left"), F.min("gid").alias("other"))
-        rest = durable(rest.join(sizes.filter("left > 1"), "bk"))
-        few = few.unionByName(rest.filter(F.col("left") <= LEFT).select("bk", "gid", "gid_c"))
+        sizes = rest.groupBy("bk").agg(F.count("*").alias("left"), F.min("rid").alias("other"))
+        rest = compact(durable(rest.join(sizes.filter("left > 1"), "bk")))
+        few = few.unionByName(rest.filter(F.col("left") <= LEFT).select("bk", "rid", "rid_c"))
         rest = rest.filter(F.col("left") > LEFT)
         if rest.isEmpty():
             break
-        stars = durable(order(rest).join(tested, ["a", "b"], "left_anti"))
-        parts.append(durable(verified(stars, texts, weights, n, similarity)))
-        hit = parts[-1].unionByName(parts[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("gid"), F.col("b").alias("other"))
-        rest = durable(rest.filter("gid != other").join(hit, ["gid", "other"], "left_anti").select("bk", "gid", "gid_c"))
-    odd = few.groupBy("bk").agg(F.min("gid_c").alias("lo"), F.max("gid_c").alias("hi")).filter("lo != hi").select("bk")
-    few = durable(few.join(odd, "bk", "left_semi"))
-    across = few.join(few.select("bk", F.col("gid").alias("other"), F.col("gid_c").alias("other_c")), "bk").filter("gid < other and gid_c != other_c")
-    pairs = durable(order(across).join(tested, ["a", "b"], "left_anti"))
+        stars = compact(durable(order(rest).join(tested, ["a", "b"], "left_anti")))
+        parts.append(compact(durable(verified(stars, texts, weights, n, similarity))))
+        hit = parts[-1].unionByName(parts[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rid"), F.col("b").alias("other"))
+        rest = compact(durable(rest.filter("rid != other").join(hit, ["rid", "other"], "left_anti").select("bk", "rid", "rid_c")))
+        tidy(df.sparkSession)
+    odd = few.groupBy("bk").agg(F.min("rid_c").alias("lo"), F.max("rid_c").alias("hi")).filter("lo != hi").select("bk")
+    few = compact(durable(few.join(odd, "bk", "left_semi")))
+    across = few.join(few.select("bk", F.col("rid").alias("other"), F.col("rid_c").alias("other_c")), "bk").filter("rid < other and rid_c != other_c")
+    pairs = compact(durable(order(across).join(tested, ["a", "b"], "left_anti")))
     parts.append(durable(verified(pairs, texts, weights, n, similarity)))
     joined = durable(components(reduce(DataFrame.unionByName, parts)))
 
-    member = first.select("gid", "least").join(joined.withColumnRenamed("node", "gid"), "gid").select("gid", "component", "least")
+    member = first.select("gid", "rid", "least").join(joined.withColumnRenamed("node", "rid"), "rid").select("gid", "component", "least")
     heads = member.groupBy("component").agg(F.min("least").alias("head"))
     member = member.join(heads, "component").select("gid", F.col("head").alias("top"))
     copies = rows.filter("gid is not null").groupBy("gid").agg(F.count("*").alias("n"), F.min(F.struct("key", "uid")).alias("least")).join(member, "gid", "left").filter("n > 1 or top is not null")
