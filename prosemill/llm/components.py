@@ -6,6 +6,7 @@ links is pre-aggregated like any group. Lineage is cut after each round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         old = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of links (i, j) among n nodes that connect what all links connect, with no circle."""
+    parent, kept, at = np.arange(n), [], np.arange(len(i))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    while len(at):
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        a, b = parent[i[at]], parent[j[at]]
+        at, a = at[a != b], a[a != b]
+        for k in at[np.unique(a, return_index=True)[1]]:
+            x, y = find(int(i[k])), find(int(j[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(k)
+    return np.array(kept, np.int64)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, compact, docs, durable, small, stored, tidy
-from .components import components
+from .common import BROADCAST_ROWS, compact, docs, durable, small, stored
+from .components import components, forest
 from .shingles import bags, batched, mix
 
 WORDS, SIMILARITY = 5, 0.8
@@ -27,9 +27,8 @@ SAMPLES, ROWS = 100, 5
 RARE, FLOOR = 0.005, 0.97
 #: Shingles dealt to the bins for each text at least.
 DEALT = 512
-#: Members of a bucket, and members of a larger one that its lead is not linked with, up to which all pairs of different classes are candidates; beyond
-#: that, rounds compare all that are left with one of them and leave out those linked with it, until few are left.
-PAIRS, LEFT = 64, 256
+#: Members of a bucket up to which pairs of different classes are listed; those of a larger one are compared in tiles of TILE by TILE texts.
+PAIRS, TILE, SLICE = 64, 512, 4096
 CHUNK = 4_000_000
 
 
@@ -174,6 +173,57 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, n: int, simil
     return with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def tiled(members: DataFrame, texts: DataFrame, weights: Weights, n: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join classes within large buckets, from members' bk, rid and cls.
+
+    The members of a bucket outside its largest class are compared with all of its members, exactly and in tiles of bounded size; a tile
+    sends links that connect what it links, not all pairs."""
+    each = members.groupBy("bk", "cls").agg(F.count("*").alias("k"))
+    sizes = each.groupBy("bk").agg(F.sum("k").alias("m"), F.max(F.struct("k", "cls")).alias("top")).filter("m > top.k")
+    blocks = lambda c: F.ceil(c / TILE).cast("int")
+    sizes = durable(sizes.select("bk", F.col("top.cls").alias("top"), blocks(F.col("m") - F.col("top.k")).alias("np"), blocks(F.col("m")).alias("nq")))
+    rows = members.join(small(sizes), "bk")
+    of = lambda c, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(c)).cast("int")
+    to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    few = rows.filter("cls != top").select("bk", "rid", "cls", F.lit(0).alias("side"), of("np", 1).alias("p"), to("nq").alias("q"))
+    every = rows.select("bk", "rid", "cls", F.lit(1).alias("side"), of("nq", 2).alias("q"), to("np").alias("p"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side")
+        rid, cls, first = table["rid"].to_numpy(), table["cls"].to_numpy(), int((table["side"].to_numpy() == 0).sum())
+        bag, held = [], table["text"].to_pylist()
+        for s in batched(held):
+            doc, h, count = bags(held[s], n)
+            bag.append((doc + s.start, h, count))
+        doc, h, count = (np.concatenate(x) for x in zip(*bag))
+        w = weights.of(h, np.ones(len(h), np.int64))
+        whole = np.bincount(doc, weights=w * count, minlength=len(held))
+        each = np.repeat(np.arange(len(h)), count)  # a shingle that comes twice is two elements
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+        doc, w = doc[each], w[each]
+        _, col = np.unique(mix(h[each] + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), return_inverse=True)
+        left = doc < first
+        both = (np.bincount(col[left], minlength=len(col)) > 0) & (np.bincount(col[~left], minlength=len(col)) > 0)
+        doc, w, col = (x[both[col]] for x in (doc, w, (np.cumsum(both) - 1)[col]))
+        order = np.argsort(col, kind="stable")
+        doc, w, col = doc[order], w[order], col[order]
+        shared = np.zeros((first, len(held) - first))
+        for at in range(0, int(col[-1]) + 1 if len(col) else 0, SLICE):
+            d, v, c = (x[slice(*np.searchsorted(col, [at, at + SLICE]))] for x in (doc, w, col))
+            x, y, own = np.zeros((first, SLICE)), np.zeros((len(held) - first, SLICE)), d < first
+            x[d[own], c[own] - at] = v[own]
+            y[d[~own] - first, c[~own] - at] = 1
+            shared += x @ y.T
+        hit = shared >= similarity * (whole[:first, None] + whole[None, first:] - shared) - 1e-9
+        i, j = np.nonzero(hit & (cls[:first, None] != cls[None, first:]))
+        _, place = np.unique(cls, return_inverse=True)
+        kept = forest(place[i], place[j + first], len(cls))
+        return pa.table({"a": pa.array(rid[i[kept]]), "b": pa.array(rid[j[kept] + first])})
+
+    both = few.unionByName(every).join(texts, "rid")
+    return compact(durable(both.groupBy("bk", "p", "q").applyInArrow(run, "a long, b long")))
+
+
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of df: key, gid, class_id (the least key of its class) and kept (one row of each class).
 
@@ -201,20 +251,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WOR
 
     now = compact(durable(with_class(with_class(buckets, "rid"), "lead")))
     few = now.filter(F.col("m") <= PAIRS).select("bk", "rid", "rid_c")
-    rest = compact(durable(now.filter((F.col("m") > PAIRS) & (F.col("rid_c") != F.col("lead_c"))).select("bk", "rid", "rid_c")))
-    parts = [links]
-    while True:
-        sizes = rest.groupBy("bk").agg(F.count("*").alias("left"), F.min("rid").alias("other"))
-        rest = compact(durable(rest.join(sizes.filter("left > 1"), "bk")))
-        few = few.unionByName(rest.filter(F.col("left") <= LEFT).select("bk", "rid", "rid_c"))
-        rest = rest.filter(F.col("left") > LEFT)
-        if rest.isEmpty():
-            break
-        stars = compact(durable(order(rest).join(tested, ["a", "b"], "left_anti")))
-        parts.append(compact(durable(verified(stars, texts, weights, n, similarity))))
-        hit = parts[-1].unionByName(parts[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rid"), F.col("b").alias("other"))
-        rest = compact(durable(rest.filter("rid != other").join(hit, ["rid", "other"], "left_anti").select("bk", "rid", "rid_c")))
-        tidy(df.sparkSession)
+    parts = [links, tiled(compact(durable(now.filter(F.col("m") > PAIRS).select("bk", "rid", F.col("rid_c").alias("cls")))), texts, weights, n, similarity)]
     odd = few.groupBy("bk").agg(F.min("rid_c").alias("lo"), F.max("rid_c").alias("hi")).filter("lo != hi").select("bk")
     few = compact(durable(few.join(odd, "bk", "left_semi")))
     across = few.join(few.select("bk", F.col("rid").alias("other"), F.col("rid_c").alias("other_c")), "bk").filter("rid < other and rid_c != other_c")
