@@ -83,7 +83,7 @@ def secret_scan(df: DataFrame, text: str = "text", key: str = "doc_id", reposito
     """A row for each row of df: the key, base spans, all spans that count, each with kind, start, end, owners, repositories and live.
 
     A null text is an empty one. Null owners (repositories) count as one. Repeated rows count by their repository once.
-    Spans of other kinds that overlap a base span are left out, the base span covers them. An empty table gives an
+    Spans of other kinds that overlap a base span are left out, the base span covers them; other kinds may overlap each other. An empty table gives an
     empty result."""
     rows, spans = scan(df, text, key, repository, owner)
     live = F.col("n_owners") <= max_owners
