@@ -1,7 +1,7 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles of five words weigh their count times an inverse document frequency. Samples are drawn by consistent weighted sampling: each shingle is
-dealt to one of SAMPLES bins and the least value of a bin is its sample; short texts deal each shingle several times. Bands of samples give candidates;
+dealt to one of SAMPLES bins and the least value of a bin is its sample; a shingle is dealt once each time it comes, in short texts several times. Bands of samples give candidates;
 candidates are verified by exact weighted Jaccard similarity of whole texts, and classes are the links' connected components.
 
 The document frequency's weight is damped: only shingles in more than RARE of all rows weigh less, and none less than FLOOR. With plain TF-IDF what
@@ -25,7 +25,7 @@ from .shingles import bags, batched, mix
 WORDS, SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 100, 5
 RARE, FLOOR = 0.005, 0.97
-#: Shingles dealt to the bins for each text at least.
+#: Draws dealt to the bins for each text at least; a repeated shingle is dealt for each of its places.
 DEALT = 512
 #: Members of a bucket up to which pairs of different classes are listed; those of a larger one are compared in tiles of TILE by TILE texts.
 PAIRS, TILE, SLICE = 64, 512, 4096
@@ -82,18 +82,22 @@ def _uniform(x: np.ndarray, k: int) -> np.ndarray:
     return ((mix(x + np.uint64(0xD1342543DE82EF95 * k & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def samples(doc: np.ndarray, h: np.ndarray, w: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
-    """(n, SAMPLES) sample ids, 0 where a bin is empty; level: by text, 2**level being about its weight."""
-    times = np.maximum(1, np.minimum(SAMPLES * 8, DEALT >> np.maximum(level, 0)))[doc]
-    i = np.repeat(np.arange(len(doc)), times)
-    nth = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+def samples(doc: np.ndarray, h: np.ndarray, count: np.ndarray, idf: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    """(n, SAMPLES) sample ids, 0 where a bin is empty; level: by text, 2**level being about its weight.
+
+    A shingle that comes `count` times is as many elements of weight idf, which leaves the weighted Jaccard similarity as it is; each is dealt as often as
+    the level says, so that a text that repeats few shingles fills its bins too."""
+    times = np.maximum(1, np.minimum(SAMPLES * 8, DEALT >> np.maximum(level, 0)))[doc] * count
+    ends = np.cumsum(times)
     out, least = np.zeros(n * SAMPLES, np.uint64), np.full(n * SAMPLES, np.inf)
-    for at in range(0, len(i), 1 << 18):
-        j, k = i[at : at + (1 << 18)], nth[at : at + (1 << 18)].astype(np.uint64)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 18):
+        nth = np.arange(at, min(at + (1 << 18), ends[-1]))
+        j = np.searchsorted(ends, nth, "right")
+        k = (nth - (ends - times)[j]).astype(np.uint64)
         x = mix(h[j] + k * np.uint64(0x9FB21C651E98DF25))
         key = doc[j] * SAMPLES + (mix(x) >> np.uint64(32)).astype(np.int64) % SAMPLES
         r, c, beta = -np.log(_uniform(x, 1) * _uniform(x, 2)), -np.log(_uniform(x, 3) * _uniform(x, 4)), _uniform(x, 5)
-        t = np.floor(np.log(w[j]) / r + beta)
+        t = np.floor(np.log(idf[j]) / r + beta)
         a = np.log(c) - r * (t - beta) - r
         np.minimum.at(least, key, a)
         won = a == least[key]
@@ -125,16 +129,16 @@ def sketches(df: DataFrame, text: str, key: str, weights: Weights, n: int) -> Da
             for s in batched(texts):
                 m = s.stop - s.start
                 doc, h, count = bags(texts[s], n)
-                w = weights.of(h, count)
-                whole = np.bincount(doc, weights=w, minlength=m)
+                idf = weights.of(h, np.ones(len(h), np.int64))
+                whole = np.bincount(doc, weights=idf * count, minlength=m)
                 level = np.floor(np.log2(np.maximum(whole, 1e-9))).astype(np.int64)
-                bands = band_keys(samples(doc, h, w, level, m), level)
+                bands = band_keys(samples(doc, h, count, idf, level, m), level)
                 low = (whole > 0) & (np.floor(np.log2(np.maximum(whole * SIMILARITY, 1e-9) * (1 - 1e-9))) < level)
                 if low.any():
                     at = np.flatnonzero(low)
                     place = np.cumsum(low) - 1
                     part = low[doc]
-                    for i, more in zip(at, band_keys(samples(place[doc[part]], h[part], w[part], level[at] - 1, len(at)), level[at] - 1)):
+                    for i, more in zip(at, band_keys(samples(place[doc[part]], h[part], count[part], idf[part], level[at] - 1, len(at)), level[at] - 1)):
                         bands[i] = bands[i] + more
                 gid = [g if x else None for g, x in zip(batch.column(1).slice(s.start, m).to_pylist(), whole > 0)]
                 yield pa.record_batch([batch.column(0).slice(s.start, m), pa.array(gid, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["key", "gid", "bands"])

@@ -230,6 +230,25 @@ def test_op10_brute_force(spark):
     assert got == {i: (find(i), find(i) == i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("words, times", [(60, 10), (40, 15), (40, 25), (5, 100)])
+def test_op10_repeated_texts(spark, words, times):
+    """Near copies of texts that repeat a few shingles many times share a band, as those of other texts do."""
+    rng = random.Random(words)
+    rows = []
+    for i in range(60):
+        t = [f"w{i}_{rng.randrange(5000)}" for _ in range(words)] * times
+        u = list(t)
+        for j in range(0, len(u), 100):
+            u[j] = f"x{i}_{j}"
+        (_, h, c), (_, h2, c2) = bags([" ".join(t)], 5), bags([" ".join(u)], 5)
+        d = dict(zip(h2.tolist(), c2.tolist()))
+        shared = sum(min(v, d.get(k, 0)) for k, v in zip(h.tolist(), c.tolist()))
+        assert shared >= 0.85 * (c.sum() + c2.sum() - shared)
+        rows += [" ".join(t), " ".join(u)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(df).collect()} == {i: i // 2 * 2 for i in range(120)}
+
+
 LONG = "word " * 60_000
 EDGE = [(1, "a plain text of some words that is long enough to be kept here", "en", "s1"), (1, "a plain text of some words that is long enough to be kept here", "en", "s1"), (2, None, None, None), (3, "", "en", None), (None, " \n\t", None, "s2"), (4, LONG, "fr", "s1"), (5, "é" * 300 + " 日本語 😀", "ja", "s3")]
 CLASH = ("key", "gid", "uid", "batch", "stratum", "h", "row", "side", "curve", "extra", "base", "n_words", "p", "page", "topic")
