@@ -229,20 +229,22 @@ def tiled(members: DataFrame, texts: DataFrame, weights: Weights, n: int, simila
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each row of df: key, gid, class_id (the least key of its class) and kept (one row of each class).
+    """A row for each row of df: key, gid, class_id (the least key of its class; null only if all of its keys are) and kept (one row of each class).
 
     Texts are linked if their weighted Jaccard similarity is `similarity` or more; equal texts always. A text of one to four words is one shingle.
     Null texts and texts without words are classes of their own each. Of repeated rows of the least key one is kept. An empty table gives an empty result."""
+    least = F.struct(F.col("key").isNull().alias("none"), "key", "uid")  # a null key only where a text has no other
     weights = Weights(*frequent(df, text, n))
     rows = stored(sketches(df, text, key, weights, n).withColumn("uid", F.monotonically_increasing_id()))
-    first = durable(rows.filter("gid is not null").groupBy("gid").agg(F.min(F.struct("key", "uid")).alias("least"), F.first("bands").alias("bands")).withColumn("rid", F.monotonically_increasing_id()))
+    first = durable(rows.filter("gid is not null").groupBy("gid").agg(F.min(least).alias("least"), F.first("bands").alias("bands")).withColumn("rid", F.monotonically_increasing_id()))
     each = first.select("rid", F.explode(F.array_distinct("bands")).alias("bk"))
     signed = F.when(F.col("bk") % 2 == 0, F.col("rid")).otherwise(-F.col("rid") - 1)  # two orders, so that bands differ in whom they compare with
     shared = each.groupBy("bk").agg(F.count("*").alias("m"), F.min(signed).alias("s")).filter("m > 1").select("bk", "m", F.expr("if(s < 0, -s - 1, s)").alias("lead"))
     buckets = compact(durable(each.join(shared, "bk").select("bk", "m", "lead", "rid")))
     need = compact(durable(buckets.select("rid").distinct().join(first.select("rid", "gid", F.col("least.key").alias("key")), "rid")))
     texts = df.select(F.md5(text).alias("gid"), F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = stored(texts.join(small(need), ["gid", "key"]).groupBy("rid").agg(F.first("text").alias("text")))
+    need = need.withColumnsRenamed({"gid": "gid_", "key": "key_"})
+    texts = stored(texts.join(small(need), (F.col("gid") == F.col("gid_")) & F.col("key").eqNullSafe(F.col("key_"))).groupBy("rid").agg(F.first("text").alias("text")))
 
     order = lambda p: p.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).filter("a != b").distinct()
     tested = compact(durable(order(buckets.select("rid", F.col("lead").alias("other")))))
@@ -266,7 +268,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WOR
     member = first.select("gid", "rid", "least").join(joined.withColumnRenamed("node", "rid"), "rid").select("gid", "component", "least")
     heads = member.groupBy("component").agg(F.min("least").alias("head"))
     member = member.join(heads, "component").select("gid", F.col("head").alias("top"))
-    copies = rows.filter("gid is not null").groupBy("gid").agg(F.count("*").alias("n"), F.min(F.struct("key", "uid")).alias("least")).join(member, "gid", "left").filter("n > 1 or top is not null")
+    copies = rows.filter("gid is not null").groupBy("gid").agg(F.count("*").alias("n"), F.min(least).alias("least")).join(member, "gid", "left").filter("n > 1 or top is not null")
     told = durable(copies.select("gid", F.coalesce("top", "least").alias("top")))
     out = rows.select("key", "gid", "uid").join(told, "gid", "left")
     return out.select(F.col("key").alias(key), "gid", F.coalesce("top.key", "key").alias("class_id"), (F.col("top").isNull() | (F.col("top.uid") == F.col("uid"))).alias("kept"))

@@ -249,6 +249,37 @@ def test_op10_repeated_texts(spark, words, times):
     assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(df).collect()} == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_op10_null_keys(spark):
+    """Rows with a null doc_id are linked as others are, in small buckets and large ones, and a class is named by its least key that is not null."""
+    rng = random.Random(8)
+    rows, want = [], []
+
+    def near(t):
+        u = list(t)
+        u[rng.randrange(len(u))] = f"x{len(rows)}"
+        return " ".join(u)
+
+    for i in range(0, 200, 10):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        if i % 30 == 0:  # near copies without a key
+            rows += [(None, " ".join(t)), (None, near(t))]
+            want += [(None, 2)]
+        elif i % 30 == 10:  # one without
+            rows += [(None, " ".join(t)), (i, near(t))]
+            want += [(i, 2)]
+        else:  # a good key, an exact copy without one, and a near copy
+            rows += [(i, " ".join(t)), (None, " ".join(t)), (i + 1, near(t))]
+            want += [(i, 3)]
+    t = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows += [(None if i % 3 else 1000 + i, near(t)) for i in range(200)]
+    want += [(1000, 200)]
+    got = minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = collections.Counter(r["class_id"] for r in got)
+    assert named == {k: sum(n for c, n in want if c == k) for k, _ in want}
+    assert sum(r["kept"] for r in got) == len(want)
+    assert all(r["doc_id"] == r["class_id"] for r in got if r["kept"])
+
+
 LONG = "word " * 60_000
 EDGE = [(1, "a plain text of some words that is long enough to be kept here", "en", "s1"), (1, "a plain text of some words that is long enough to be kept here", "en", "s1"), (2, None, None, None), (3, "", "en", None), (None, " \n\t", None, "s2"), (4, LONG, "fr", "s1"), (5, "é" * 300 + " 日本語 😀", "ja", "s3")]
 CLASH = ("key", "gid", "uid", "batch", "stratum", "h", "row", "side", "curve", "extra", "base", "n_words", "p", "page", "topic")
