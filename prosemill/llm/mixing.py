@@ -72,17 +72,24 @@ def featured(df: DataFrame, text: str = "text", source: str = "source", lang: st
 
 
 def mix(df: DataFrame, key: str = "doc_id", targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
-    """A featured df with p and kept: a row stays if the hash of its key, in [0, 1), is below p.
+    """A featured df with p, repeats and kept: a row comes floor(p) times in the sample, and once more if the hash of its key, in [0, 1), is below the rest of p.
 
-    p is keep * tokens of all * the cell's share / tokens of the cell, at most 1; rows of cells without tokens have p 1. The same key has the same fate. An empty
-    table gives an empty result."""
+    p is keep * tokens of all * the cell's share / tokens of the cell, and above 1 where a cell has fewer tokens than its share asks for; so the expected tokens of each
+    cell are its share's. Rows of cells without tokens have p 1. kept: repeats > 0. The same key has the same fate. An empty table gives an empty result."""
     cells = durable(df.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(keep * total)) * F.col("share") / F.col("tokens"))).otherwise(F.lit(1.0))
+    p = F.when(F.col("tokens") > 0, F.lit(float(keep * total)) * F.col("share") / F.col("tokens")).otherwise(F.lit(1.0))
     rates = rake(cells, targets).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), p.alias("p"))
-    return df.join(small(durable(rates)), ["_source", "_lang", "_topic"]).withColumn("kept", md5_unit(F.coalesce(F.col(key).cast("string"), F.lit(""))) < F.col("p"))
+    more = md5_unit(F.coalesce(F.col(key).cast("string"), F.lit(""))) < F.col("p") - F.floor("p")
+    out = df.join(small(durable(rates)), ["_source", "_lang", "_topic"]).withColumn("repeats", F.floor("p") + more.cast("long"))
+    return out.withColumn("kept", F.col("repeats") > 0)
+
+
+def sampled(mixed: DataFrame) -> DataFrame:
+    """The sample: each row of mix() as often as its repeats say."""
+    return mixed.filter("kept").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).drop("_nth")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = durable(featured(docs(spark, sf_dir)).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
-    return mix(rows).select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("p", 9).alias("p"), "kept")
+    return mix(rows).select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("p", 9).alias("p"), "repeats", "kept")

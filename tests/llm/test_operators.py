@@ -178,6 +178,25 @@ def test_op8_marginals(spark):
             assert sum(r["share"] for r in out if r[d] == k) == pytest.approx(v / sum(t.values()), abs=1e-4)
 
 
+def test_op8_sample_marginals(spark):
+    """The sample meets the targets, also where values are to be raised far above what is there."""
+    rng = random.Random(4)
+    sources = {"s0": 0.9, "s1": 0.07, "s2": 0.03}
+    rows = [(i, " ".join(["word"] * rng.randint(20, 40)), rng.choice(["en", "de"]), rng.choices(list(sources), list(sources.values()))[0]) for i in range(20_000)]
+    want = {"s0": 0.4, "s1": 0.35, "s2": 0.25}
+    targets = {"source": spark.createDataFrame(list(want.items()), "value string, weight double")}
+    mixed = mixing.mix(mixing.featured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), targets=targets)
+    assert mixed.filter("p > 5").count() > 0
+    total, got = collections.Counter(), mixing.sampled(mixed).collect()
+    for r in got:
+        total[r["source"]] += r["_tokens"]
+    whole = sum(r["_tokens"] for r in mixed.select("_tokens").collect())
+    assert sum(total.values()) == pytest.approx(0.8 * whole, rel=0.02)
+    for s, share in want.items():
+        assert total[s] / sum(total.values()) == pytest.approx(share, abs=0.01)
+    assert len(got) == sum(r["repeats"] for r in mixed.select("repeats").collect())
+
+
 def test_op9_accuracy(spark, documents):
     langs = {r["doc_id"]: r["lang"] for r in documents.collect()}
     out = registry.QUERIES["op9_language_id"](spark, DATA).collect()
