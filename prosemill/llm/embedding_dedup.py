@@ -85,7 +85,8 @@ def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
     whole = 2 - 2 * cosine
     ends = durable(placed.groupBy("dim", "block", "bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     l, r = ends.alias("l"), ends.alias("r")  # bins, not rows
-    radius = F.sqrt(F.lit(whole + SLACK) / F.least(F.lit(blocks), F.col("l.dim"))) + SLACK
+    cut = lambda i: F.floor(F.col("l.dim") * i / F.least(F.lit(blocks), F.col("l.dim")))  # noqa: E731  as cuts()
+    radius = F.sqrt(F.lit(whole + SLACK) * (cut(F.col("l.block") + 1) - cut(F.col("l.block"))) / F.col("l.dim")) + SLACK
     meets = durable(l.join(r, (F.col("l.dim") == F.col("r.dim")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.bin") <= F.col("r.bin")) & (F.col("r.lo") <= F.col("l.hi") + radius)).select(
         F.col("l.dim").alias("dim"), F.col("l.block").alias("block"), F.col("l.bin").alias("p"), F.col("r.bin").alias("q")))
     side = lambda c, name: placed.join(small(meets), (placed["dim"] == meets["dim"]) & (placed["block"] == meets["block"]) & (placed["bin"] == meets[c])).select(placed["dim"], placed["block"], "p", "q", F.lit(name).alias("side"), "key", "n", "unit")

@@ -56,6 +56,25 @@ def test_op1_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], find(i), find(i) == i)
 
 
+def test_op1_unequal_blocks(spark, monkeypatch):
+    """Blocks of a dimension that 4 does not divide have radii of their own: pairs within budget only in a longer block are found over narrow bins."""
+    monkeypatch.setattr(embedding_dedup, "BIN", 4)
+    rng = np.random.default_rng(6)
+    gap = np.zeros(10)
+    gap[[2, 0, 5, 7]] = np.sqrt(np.array([0.285, 0.204, 0.204, 0.303]) * (2 - 2 * 0.9))
+    vectors = []
+    for _ in range(80):
+        m = rng.normal(size=10)
+        m -= (m @ gap) / (gap @ gap) * gap
+        m *= np.sqrt(1 - gap @ gap / 4) / np.sqrt(m @ m)
+        vectors += [(m - gap / 2) @ embedding_dedup.rotation(10).T, (m + gap / 2) @ embedding_dedup.rotation(10).T]
+    near = np.array(vectors) @ np.array(vectors).T >= 0.9
+    assert near[np.arange(0, 160, 2), np.arange(1, 160, 2)].all()
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()}
+    want = {i: int(near[i].sum()) - 1 for i in range(160)}
+    assert got == want, (sum(got.values()), sum(want.values()))
+
+
 def test_op2_whole_encoding(spark, documents, texts):
     tokenizer = encoding.load(token_counts.VOCAB)
     tokenizer.encode_special_tokens = True
