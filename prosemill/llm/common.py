@@ -21,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prosemill-"))
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="prosemill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,16 +45,36 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Paths of stored tables not yet released, in the order they were made.
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df computed once as compressed Parquet in the shared folder; for wide rows, whose columns are read apart."""
+    """df computed once as compressed Parquet in the shared folder; for wide rows, whose columns are read apart. released() removes it."""
     spark = df.sparkSession
     from uuid import uuid4
 
     path = f"{shared_dir(spark)}/table-{uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.parquet(path)
 
 
+def made() -> int:
+    """How many stored tables there are; for released()."""
+    return len(_TABLES)
+
+
+def released(spark: SparkSession, since: int) -> None:
+    """Removes the stored tables made after the first `since` ones, but the last; only for callers that know no one reads them any more, as a pipeline between its stages."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _TABLES[since:-1]
+    del _TABLES[since:-1]
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; else as it is, for a shuffled join. Call on a durable table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,8 +1,12 @@
 """Language-model scores by stupid backoff over the corpus's own n-grams.
 
-Documents are dealt to batches of bounded size. A batch sends its distinct n-grams, counted, to buckets by hash; a bucket
-is a partition of the count table: it adds up what all batches sent and answers each with the totals of its n-grams. A
-batch then scores its documents' n-grams by these totals less the document's own counts, so that no document vouches for itself.
+Documents are gathered to blocks of bounded size and stored, so that a block is the same whenever it is read. The n-gram table has a row for
+each block and hash bucket: the block's distinct n-grams of that bucket, as gaps of their sorted hashes, and their counts, packed. Grouped by bucket that is the count
+table's partition, which sums all blocks' counts; joined back by block, each block's n-grams have their totals, from which the
+document's own counts are taken off, so that no document vouches for itself, and the words' scores are summed per document.
+
+A row for each n-gram would be the plainest form of these tables, yet at some 240 million n-grams a GB its two shuffles exceed four times the
+input; packed rows hold the same columns. Empty ones are not sent, so there are never more rows than n-grams.
 """
 
 from __future__ import annotations
@@ -12,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs
-from .shingles import HASH_BITS, MASK, mix, words
+from .common import docs, stored
+from .shingles import HASH_BITS, MASK, SPACE, mix, words
 
 ORDER, ALPHA = 2, 0.4
-BATCH_BYTES = 16 << 20
-_KEEP = 7  # bytes of a hash
+BLOCK_BYTES = 6 << 20
 
 
 def grams(h: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -46,54 +50,101 @@ def own_counts(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(df: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, alpha: float = ALPHA, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def blocks(df: DataFrame, text: str, key: str, block_bytes: int) -> DataFrame:
+    """Stored rows of block, keys, lengths (bytes of each text), n_words and blob (the texts, zstd). A text larger than block_bytes is a block of its own."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        keys: list[pa.Array] = []
+        raws: list[bytes] = []
+        size = 0
+
+        def emit(names: pa.Array) -> pa.RecordBatch:
+            whole = b"".join(raws)
+            n = sum(map(_count, raws))
+            packed = pa.compress(whole, codec="zstd", asbytes=True)
+            lengths = pa.array([list(map(len, raws))], pa.list_(pa.int64()))
+            return pa.record_batch([pa.array([(part << 32) + made]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), lengths, pa.array([n]), pa.array([packed], pa.binary())], ["block", "keys", "lengths", "n_words", "blob"])
+
+        for batch in batches:
+            for i, t in enumerate(batch.column(1)):
+                raw = (t.as_py() or "").encode("utf-8", "replace")
+                if raws and size + len(raw) > block_bytes:
+                    yield emit(pa.concat_arrays(keys))
+                    keys, size, made = [], 0, made + 1
+                    raws.clear()
+                keys.append(batch.column(0).slice(i, 1))
+                raws.append(raw)
+                size += len(raw)
+        if raws:
+            yield emit(pa.concat_arrays(keys))
+
+    return stored(df.select(key, text).mapInArrow(run, f"block long, keys array<{kind}>, lengths array<long>, n_words long, blob binary"))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs."""
+    n = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.reshape(-1).view("<u8")
+
+
+def _count(raw: bytes) -> int:
+    """Words of a text."""
+    space = SPACE[np.frombuffer(raw, np.uint8)]
+    return int((space[:-1] & ~space[1:]).sum() + (not space[0])) if raw else 0
+
+
+def _texts(blob: bytes, lengths: list[int]) -> list[bytes]:
+    whole, ends = pa.decompress(blob, decompressed_size=sum(lengths), codec="zstd", asbytes=True) if sum(lengths) else b"", np.cumsum([0, *lengths]).tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def score(df: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of df: key, n_words, n_backoff (words scored by less than the longest n-gram they could have) and score, the mean log of the words' scores.
 
     S(w | context) = c(context w) / c(context) if that n-gram occurs elsewhere, else alpha * S(w | shorter context); a word that occurs nowhere else counts 1 of
     all words. Words are runs of characters other than ASCII white space. A null text or one without words has a score of 0. Repeated rows are documents of their
-    own. An empty table gives an empty result."""
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_batches = max(1, math.ceil(size / batch_bytes))
-    n_buckets = n_batches
+    own. Other columns of df, whatever their names, are not read. An empty table gives an empty result."""
     kind = df.schema[key].dataType.simpleString()
-    dealt = df.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_batches)).alias("batch"), F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def bounds(u: np.ndarray) -> np.ndarray:
-        return np.searchsorted(u, np.array([(b << HASH_BITS) // n_buckets for b in range(n_buckets + 1)], np.uint64))
-
-    def send(table: pa.Table) -> pa.Table:
-        all_grams = grams(*words(table["text"].to_pylist()), order)
-        rows: list[tuple] = []
-        for n, g in enumerate(all_grams):
-            u, c = np.unique(g[g != 0] if n else g, return_counts=True)
-            at, raw, c = bounds(u), u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEEP], c.astype("<u4")
-            rows += [(b, n, raw[at[b] : at[b + 1]].tobytes(), c[at[b] : at[b + 1]].tobytes()) for b in range(n_buckets) if at[b + 1] > at[b]]
-        b, n, u, c = zip(*rows) if rows else ([], [], [], [])
-        batch = table["batch"][0].as_py()
-        return pa.table({"bucket": pa.array(b, pa.int64()), "n": pa.array(n, pa.int32()), "batch": pa.array([batch] * len(b), pa.int64()), "grams": pa.array(u, pa.binary()), "counts": pa.array(c, pa.binary())})
+    dealt = blocks(df, text, key, block_bytes)
+    n_buckets, n_words = dealt.agg(F.count("*"), F.sum("n_words")).first()
+    n_buckets, n_words = max(1, n_buckets), n_words or 0
+    edges = np.array([(b << HASH_BITS) // n_buckets for b in range(n_buckets)], np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lengths, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "lengths", "blob")]):
+                for n, g in enumerate(grams(*words(_texts(blob, lengths)), order)):
+                    u, c = np.unique(g[g != 0] if n else g, return_counts=True)
+                    bucket = np.searchsorted(edges, u, "right") - 1
+                    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    ends = np.append(at[1:], len(u))
+                    gaps, c = np.diff(u, prepend=np.uint64(0)), c.astype("<u4")
+                    gaps[at] = u[at] - edges[bucket[at]]
+                    yield pa.record_batch([pa.array(bucket[at], pa.int64()), pa.array(np.full(len(at), n, np.int32)), pa.array(np.full(len(at), block)), pa.array([_narrow(gaps[a:b]) for a, b in zip(at, ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], ["bucket", "n", "block", "grams", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        out = []
-        for n in set(table["n"].to_pylist()):
-            part = table.filter(pa.compute.equal(table["n"], n))
-            parts = []
-            for x in part["grams"].to_pylist():
-                wide = np.zeros((len(x) // _KEEP, 8), np.uint8)
-                wide[:, :_KEEP] = np.frombuffer(x, np.uint8).reshape(-1, _KEEP)
-                parts.append(wide.reshape(-1).view("<u8"))
-            u, back = np.unique(np.concatenate(parts), return_inverse=True)
-            sums = np.bincount(back, weights=np.frombuffer(b"".join(part["counts"].to_pylist()), "<u4")).astype("<i8")[back]
-            ends = np.cumsum([len(p) for p in parts])
-            out.append(pa.table({"batch": part["batch"], "n": part["n"], "bucket": part["bucket"], "totals": pa.array([sums[e - len(p) : e].tobytes() for p, e in zip(parts, ends)], pa.binary()), "words": pa.array([int(np.frombuffer(c, "<u4").sum()) if n == 0 else 0 for c in part["counts"].to_pylist()], pa.int64())}))
-        return pa.concat_tables(out)
+        edge = edges[table["bucket"][0].as_py()]
+        parts = [edge + np.cumsum(_wide(x, len(c) // 4), dtype=np.uint64) for x, c in zip(table["grams"].to_pylist(), table["counts"].to_pylist())]
+        ends = np.cumsum([len(p) for p in parts])
+        _, back = np.unique(np.concatenate(parts), return_inverse=True)
+        del parts
+        sums = np.bincount(back, weights=np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4")).astype("<i8")[back]
+        return pa.table({"block": table["block"], "n": table["n"], "bucket": table["bucket"], "totals": pa.array([sums[a:e].tobytes() for a, e in zip([0, *ends[:-1]], ends)], pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, counts = words(left["text"].to_pylist())
-        doc = np.repeat(np.arange(len(counts)), counts)
+        keys = left["keys"].combine_chunks().values
+        h, counts = words(_texts(left["blob"][0].as_py(), left["lengths"][0].as_py()))
         right = right.sort_by([("n", "ascending"), ("bucket", "ascending")])
+        doc = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-        corpus, done = n_words, np.zeros(len(h), bool)
-        value, lower, back = np.zeros(len(h)), None, np.zeros(len(h), np.int64)
         tables = []
         for n, g in enumerate(grams(h, counts, order)):
             u, inverse = np.unique(g[g != 0] if n else g, return_inverse=True)
@@ -101,6 +152,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", order: int = O
             c = np.zeros(len(h), np.int64)
             c[(g != 0) if n else np.ones(len(h), bool)] = totals[inverse]
             tables.append(c - own_counts(g, doc))
+        value, done, back = np.zeros(len(h)), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         longest = np.minimum(place, order - 1)
         for n in range(order - 1, 0, -1):
             context = np.concatenate([[0], tables[n - 1][:-1]])
@@ -110,15 +162,14 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", order: int = O
             miss = ~done & (longest >= n)
             value[miss] += math.log(alpha)
             back += miss & (longest == n)
-        rest = np.maximum(1, corpus - np.repeat(counts, counts))
+        rest = np.maximum(1, n_words - np.repeat(counts, counts))
         value[~done] += np.log(np.maximum(tables[0], 1) / rest)[~done]
         sums, backs = np.bincount(doc, weights=value, minlength=len(counts)), np.bincount(doc, weights=back, minlength=len(counts))
-        return pa.table({"key": left["key"], "n_words": pa.array(counts.astype(np.int64)), "n_backoff": pa.array(backs.astype(np.int64)), "score": pa.array(sums / np.maximum(counts, 1))})
+        return pa.table({"key": keys, "n_words": pa.array(counts.astype(np.int64)), "n_backoff": pa.array(backs.astype(np.int64)), "score": pa.array(sums / np.maximum(counts, 1))})
 
-    counted = dealt.groupBy("batch").applyInArrow(send, "bucket long, n int, batch long, grams binary, counts binary")
-    told = counted.groupBy("bucket").applyInArrow(total, "batch long, n int, bucket long, totals binary, words long")
-    n_words = df.select(F.sum(F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long"))).first()[0] or 0
-    out = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, f"key {kind}, n_words long, n_backoff long, score double")
+    table = dealt.select("block", "lengths", "blob").mapInArrow(send, "bucket long, n int, block long, grams binary, counts binary")
+    counted = table.groupBy("bucket", "n").applyInArrow(total, "block long, n int, bucket long, totals binary")
+    out = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(finish, f"key {kind}, n_words long, n_backoff long, score double")
     return out.withColumnRenamed("key", key)
 
 

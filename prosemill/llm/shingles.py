@@ -8,8 +8,8 @@ import numpy as np
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BLANK = re.compile(rb"[\t-\r ]")
 CUT = 1 << 20
 _POWERS: list[np.ndarray] = []
@@ -40,14 +40,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words of each text): runs of characters other than ASCII white space.
 
     Works on pieces of about CUT bytes, long texts being cut at white space, so that its memory doesn't grow with a text."""
     groups: list[list[bytes]] = [[]]
     owner, size = [], 0
     for i, t in enumerate(texts):
-        raw, at = (t or "").encode("utf-8", "replace"), 0
+        raw, at = t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace"), 0
         while at <= len(raw):
             cut = _BLANK.search(raw, at + CUT) if len(raw) - at > CUT else None
             end = cut.start() if cut else len(raw)
@@ -64,7 +64,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[buf]
+    space = SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
     p, inv = _powers(len(buf))
