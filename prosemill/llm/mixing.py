@@ -65,31 +65,37 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dims: tu
     return out.drop(*[f"t_{d}" for d in dims])
 
 
-def featured(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """df with _source, _lang, _topic and _tokens; a null source, language or text has a value of its own or no tokens."""
+FEATURES = ("_source", "_lang", "_topic", "_tokens", "_id")
+
+
+def features(text: str = "text", source: str = "source", lang: str = "lang", key: str = "doc_id", topic: Column | None = None) -> list[Column]:
+    """The columns FEATURES of a row: its cell, its tokens and what decides its fate, the hash of key and text. A null source, language or text has a value of its own
+    or no tokens. topic: the row's topic; topic_of its text by default."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit(NULL)), "_lang": F.coalesce(F.col(lang).cast("string"), F.lit(NULL)), "_topic": topic_of(t), "_tokens": tokens_of(t)})
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
+    each = (value(source), value(lang), topic_of(t) if topic is None else F.coalesce(topic.cast("string"), F.lit(NULL)), tokens_of(t), F.concat(value(key), F.lit("/"), F.md5(t)))
+    return [c.alias(n) for c, n in zip(each, FEATURES)]
 
 
-def mix(df: DataFrame, key: str = "doc_id", targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
-    """A featured df with p, repeats and kept: a row comes floor(p) times in the sample, and once more if the hash of its key, in [0, 1), is below the rest of p.
+def mix(rows: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
+    """rows (FEATURES and others) with _p and _repeats: a row comes floor(_p) times in the sample, and once more if the hash of its _id, in [0, 1), is below the rest of _p.
 
-    p is keep * tokens of all * the cell's share / tokens of the cell, and above 1 where a cell has fewer tokens than its share asks for; so the expected tokens of each
-    cell are its share's. Rows of cells without tokens have p 1. kept: repeats > 0. The same key has the same fate. An empty table gives an empty result."""
-    cells = durable(df.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
+    _p is keep * tokens of all * the cell's share / tokens of the cell, and above 1 where a cell has fewer tokens than its share asks for; so the expected tokens of each
+    cell are its share's. Rows of cells without tokens have _p 1. Rows alike in key and text have the same fate. An empty table gives an empty result."""
+    cells = durable(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     p = F.when(F.col("tokens") > 0, F.lit(float(keep * total)) * F.col("share") / F.col("tokens")).otherwise(F.lit(1.0))
-    rates = rake(cells, targets).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), p.alias("p"))
-    more = md5_unit(F.coalesce(F.col(key).cast("string"), F.lit(""))) < F.col("p") - F.floor("p")
-    out = df.join(small(durable(rates)), ["_source", "_lang", "_topic"]).withColumn("repeats", F.floor("p") + more.cast("long"))
-    return out.withColumn("kept", F.col("repeats") > 0)
+    rates = rake(cells, targets).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), p.alias("_p"))
+    more = md5_unit(F.col("_id")) < F.col("_p") - F.floor("_p")
+    return rows.join(small(durable(rates)), ["_source", "_lang", "_topic"]).withColumn("_repeats", F.floor("_p") + more.cast("long"))
 
 
-def sampled(mixed: DataFrame) -> DataFrame:
-    """The sample: each row of mix() as often as its repeats say."""
-    return mixed.filter("kept").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).drop("_nth")
+def sample(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", key: str = "doc_id", topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
+    """A sample of the rows of df, with their columns, whose tokens meet the raked marginals in expectation; rows of cells to be raised come several times."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *features(text, source, lang, key, topic))
+    return mix(rows, targets, keep).filter("_repeats > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(featured(docs(spark, sf_dir)).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
-    return mix(rows).select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("p", 9).alias("p"), "repeats", "kept")
+    rows = durable(docs(spark, sf_dir).select("doc_id", *features()))
+    return mix(rows).select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_p", 9).alias("p"), F.col("_repeats").alias("repeats"), (F.col("_repeats") > 0).alias("kept"))
