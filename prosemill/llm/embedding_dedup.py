@@ -22,6 +22,8 @@ from .common import durable, small
 from .components import components
 
 BLOCKS, BIN, TILE, SEED, SLACK = 4, 4096, 1024, 11, 1e-9
+#: Distances and cosines within BAND of their bound are decided pair by pair, PAIRS at a time.
+BAND, PAIRS = 1e-10, 1 << 16
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -99,7 +101,8 @@ def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
         side = table["side"].to_numpy()[order]
         u = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(-1, dim)[order]
         n = table["n"].to_numpy()[order]
-        z, c = u @ rotation(dim), cuts(dim, blocks)
+        turn, c = rotation(dim), cuts(dim, blocks)
+        z = np.stack([x @ turn for x in u])  # a row at a time, as in prepared(): the same bits in every pair of bins
         budget = [(whole + SLACK) * (c[i + 1] - c[i]) / dim for i in range(len(c) - 1)]
         first, total = int((side == 0).sum()), len(side)
         links, parent = np.zeros(total, np.int64), np.arange(total)
@@ -114,29 +117,42 @@ def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
             x, y = z[a, c[k] : c[k + 1]], z[b, c[k] : c[k + 1]]
             return (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
 
+        def linked_here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether pairs are links and this is their first block within budget; decides alike in whatever bins and order a pair comes."""
+            keep = np.zeros(len(i), bool)
+            for at in range(0, len(i), PAIRS):
+                s = slice(at, at + PAIRS)
+                d = (z[i[s]] - z[j[s]]) ** 2
+                ok = (u[i[s]] * u[j[s]]).sum(1) >= cosine
+                for k in range(block + 1):
+                    near = d[:, c[k] : c[k + 1]].sum(1) <= budget[k]
+                    ok &= near if k == block else ~near
+                keep[s] = ok
+            return keep
+
         alone = first == total  # a bin with itself
         for a0 in range(0, first, TILE):
             a = slice(a0, min(a0 + TILE, first))
             for b0 in range(a0 if alone else first, total, TILE):
                 b = slice(b0, min(b0 + TILE, total))
-                hit = gaps(block, a, b) <= budget[block]
+                own = gaps(block, a, b) - budget[block]
+                hit = own <= BAND
                 if alone and a0 == b0:
                     hit &= np.triu(np.ones(hit.shape, bool), 1)
                 if not hit.any():
                     continue
-                if hit.mean() > 0.02:  # dense: all of the tile at once
-                    hit &= u[a] @ u[b].T >= cosine
-                    for k in range(block):
-                        hit &= gaps(k, a, b) > budget[k]
-                    i, j = np.nonzero(hit)
-                else:
-                    i, j = np.nonzero(hit)
-                    keep = (u[a][i] * u[b][j]).sum(1) >= cosine
-                    i, j = i[keep], j[keep]
+                sure = np.zeros_like(hit)
+                if hit.mean() > 0.02:  # dense: all of the tile at once, but for what is too close to call
+                    over = u[a] @ u[b].T - cosine
+                    hit &= over >= -BAND
+                    sure = hit & (own < -BAND) & (over > BAND)
                     for k in range(block):
-                        d = z[a][i, c[k] : c[k + 1]] - z[b][j, c[k] : c[k + 1]]
-                        keep = (d * d).sum(1) > budget[k]
-                        i, j = i[keep], j[keep]
+                        left = gaps(k, a, b) - budget[k]
+                        hit &= left >= -BAND
+                        sure &= left > BAND
+                i, j = np.nonzero(hit & ~sure)
+                keep = linked_here(i + a0, j + b0)
+                i, j = (np.concatenate([x, y[keep]]) for x, y in zip(np.nonzero(sure), (i, j)))
                 if not len(i):
                     continue
                 i, j = i + a.start, j + b.start
@@ -166,7 +182,7 @@ def embedding_dedup(df: DataFrame, vec: str = "embedding", key: str = "vec_id",
     """A row for each row of df: key, n_links, component_id, kept.
 
     Equal vectors are one group with its count; vectors of different dimensions are never linked. A vector that is null, empty or zero or
-    has null or non-finite components has no links. Repeated rows are vectors of their own with a link to each other. An
+    has null or non-finite components has no links. Other columns of df are not read. Repeated rows are vectors of their own with a link to each other. An
     empty table gives an empty result."""
     rows = durable(prepared(df, vec, key, blocks))
     groups = durable(rows.filter("digest is not null").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.first("lead").alias("lead")))
