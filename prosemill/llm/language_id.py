@@ -7,11 +7,11 @@ in batches of windows and averages the windows' probabilities by their bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from .common import docs
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Bounds of the training sample: documents of each language (in expectation) and windows of each of these.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 500, 6
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
@@ -141,7 +141,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def predict(df: DataFrame, net: ByteCNN | None, text: str = "text", key: str = "doc_id", extra: Column | None = None) -> DataFrame:
-    """Rows of key, extra, lang_pred, score. A text that is null or has no letter, or no network, gives `und` with score 0."""
+    """Rows of key, extra, lang_pred, score. A text that is null or has no letter, or no network, gives `und` with score 0. Columns of df other than key and text are not read; an empty table gives an empty
+    result."""
     extra = F.lit(None).cast("boolean") if extra is None else extra
     weights = None if net is None else (net.classes, net.tables, net.dense, net.bias)
     kind = df.schema[key].dataType.simpleString()
