@@ -40,8 +40,9 @@ def predicted(gold: DataFrame, profile: str | None = None) -> DataFrame:
     """Findings of each record's text under its profile (or the one given): one lint plan a profile."""
     own = F.lit(profile) if profile else F.col("profile")
     rows = gold.select(F.col("id").alias("path"), "text", own.alias("profile"))
-    parts = [lint(rows.filter(F.col("profile") == p), PROFILE_CONFIGS[p]) for p in ([profile] if profile else PROFILES)]
-    if not profile:
+    have = {profile} if profile else {r["profile"] for r in rows.select("profile").distinct().collect()}  # as many as there are profiles
+    parts = [lint(rows.filter(F.col("profile") == p), PROFILE_CONFIGS[p]) for p in PROFILES if p in have]
+    if None in have or not parts:
         parts.append(lint(rows.filter(F.col("profile").isNull())))
     return reduce(DataFrame.unionByName, parts)
 

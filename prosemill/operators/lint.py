@@ -1,13 +1,18 @@
 """Documents to findings: preparation, rules, suppression, allowed terms, places, excerpts, collapsing.
 
-One narrow stage: each document is prepared in one Arrow batch call and all rules run on its row as columns; findings are exploded last.
+One narrow stage: each document is prepared in one Arrow batch call, all rules run on its row as columns, and findings get their places there too, so that
+only narrow rows are exploded, last.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,16 +26,19 @@ from .context_rules import CONTEXT_RULES
 from .markdown import Document
 from .rules import COLUMN_RULES
 
+_LINE_END = re.compile("\n")
 _SENTENCE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("raw_start", pa.int64()), ("raw_end", pa.int64()), ("text", pa.string()), ("block", pa.int32()), ("kind", pa.string()), ("section", pa.int32())])
 _PARAGRAPH = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("block", pa.int32()), ("sentence_count", pa.int32())])
 _BLOCK = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("section", pa.int32())])
 _RANGE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string())])
 _FOUND = pa.struct([("rule", pa.string()), ("index", pa.int64()), ("length", pa.int64()), ("message", pa.string())])
-_FIELDS = [("text", pa.string()), ("masked", pa.string()), ("redacted", pa.string()), ("sentences", pa.list_(_SENTENCE)), ("paragraphs", pa.list_(_PARAGRAPH)), ("blocks", pa.list_(_BLOCK)), ("ranges", pa.list_(_RANGE)), ("found", pa.list_(_FOUND))]
+#: Length of the parts that redacted text comes in, so that an excerpt needs no walk from the start of a long text.
+PART = 2048
+_FIELDS = [("text", pa.string()), ("masked", pa.string()), ("redacted", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("sentences", pa.list_(_SENTENCE)), ("paragraphs", pa.list_(_PARAGRAPH)), ("blocks", pa.list_(_BLOCK)), ("ranges", pa.list_(_RANGE)), ("found", pa.list_(_FOUND))]
 
 
 def prepare(docs: DataFrame, ignore_patterns: list[str] | None = None, context: dict[str, dict] | None = None, namespace: str = NAMESPACE) -> DataFrame:
-    """(path, text) to prepared documents: masked and redacted text, sentences, paragraphs, blocks, suppression ranges, and the findings of the context rules asked for.
+    """(path, text) to prepared documents: masked text, redacted text in parts, starts of lines, sentences, paragraphs, blocks, suppression ranges, and the findings of the context rules asked for.
 
     text is the expanded text, whose offsets are UTF-16 units. A null text is an empty one."""
     from pyspark.sql.pandas.types import from_arrow_schema
@@ -48,25 +56,34 @@ def prepare(docs: DataFrame, ignore_patterns: list[str] | None = None, context:
                     found = [{"rule": r, "index": i, "length": n, "message": m} for r, o in context.items() for i, n, m in CONTEXT_RULES[r](d, o)]
                     blocks = [dict(zip(("start", "end", "kind", "section"), b)) for b in d.blocks]
                     ranges = [dict(zip(("start", "end", "rule"), r)) for r in d.ranges]
-                    for c, v in zip(cols, (d.text, d.masked, d.redacted, d.sentences, d.paragraphs, blocks, ranges, found)):
+                    starts = [0, *(m.end() for m in _LINE_END.finditer(d.text))]
+                    parts = [d.redacted[k : k + PART] for k in range(0, len(d.redacted), PART)]
+                    for c, v in zip(cols, (d.text, d.masked, parts, starts, d.sentences, d.paragraphs, blocks, ranges, found)):
                         c.append(v)
                 yield pa.record_batch([part.column(0), *[pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]], ["path", *[n for n, _ in _FIELDS]])
 
     return docs.select("path", "text").mapInArrow(run, schema)
 
 
-def raw_findings(prepared: DataFrame, settings: dict[str, tuple[str, dict]]) -> DataFrame:
-    """prepared with all findings of the rules that are on, as rows: short rule id, severity, index, length, message."""
+_RAW = "array<struct<rule:string,severity:string,index:bigint,length:bigint,message:string>>"
+
+
+def raw_findings(settings: dict[str, tuple[str, dict]]) -> Column:
+    """All findings of a prepared document by the rules that are on: short rule id, severity, index, length, message."""
     parts: list[Column] = []
     for r, (severity, options) in settings.items():
-        if r in COLUMN_RULES:
-            found = COLUMN_RULES[r](options).cast(f"array<{FINDING}>")
-        else:
-            found = F.transform(F.filter("found", _named(r)), lambda f: F.struct(f["index"], f["length"], f["message"], F.lit(None).cast("string").alias("severity"))).cast(f"array<{FINDING}>")
-        parts.append(F.transform(found, _labelled(r, severity)))
-    kind = f"array<struct<rule:string,severity:string,index:bigint,length:bigint,message:string>>"
-    every = F.concat(*[p.cast(kind) for p in parts]) if parts else F.array().cast(kind)
-    return prepared.withColumn("f", F.explode(every))
+        parts.append(_findings(r, severity, json.dumps(options, sort_keys=True), id(SparkContext._gateway)))
+    return F.concat(*parts) if parts else F.array().cast(_RAW)
+
+
+@lru_cache(maxsize=512)
+def _findings(rule: str, severity: str, options: str, gateway: int) -> Column:
+    """The findings of a rule by its options (JSON). A rule is thousands of calls to the JVM, so that its column is kept for the next run."""
+    if rule in COLUMN_RULES:
+        found = COLUMN_RULES[rule](json.loads(options)).cast(f"array<{FINDING}>")
+    else:
+        found = F.transform(F.filter("found", _named(rule)), lambda f: F.struct(f["index"], f["length"], f["message"], F.lit(None).cast("string").alias("severity"))).cast(f"array<{FINDING}>")
+    return F.transform(found, _labelled(rule, severity)).cast(_RAW)
 
 
 def _named(rule: str):
@@ -92,6 +109,21 @@ def allowed(allow_terms: list[dict], short: Column, index: Column, length: Colum
     return out
 
 
+def line_before(index: Column) -> Column:
+    """The number of the line, from 0, of a place: a binary search of the starts of lines."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("starts", at + step) <= index, at + step).otherwise(at))
+
+
+def excerpt(start: Column, end: Column) -> Column:
+    """Redacted text of a place, white space as single blanks."""
+    first = F.greatest(start, F.lit(0))
+    low = F.floor(first / PART).cast("int")
+    some = F.array_join(F.slice("redacted", low + 1, F.floor(end / PART).cast("int") - low + 1), "")
+    cut = piece(some, first - low * PART, end - low * PART)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, f"[{WS}]+", " "), "^ | $", ""), "[\\uE100\\uE102\\uE104][\\uE101\\uE103\\uE105]", "\ufffd")
+
+
 def lint(docs: DataFrame, config: dict | None = None) -> DataFrame:
     """(path, text) to findings: path, rule_id, severity, line, column, index, length, message, excerpt, occurrences.
 
@@ -100,16 +132,15 @@ def lint(docs: DataFrame, config: dict | None = None) -> DataFrame:
     config = validate(config)
     settings = rule_settings(config)
     patterns = [x["pattern"] for x in config.get("ignorePatterns", [])]
-    rows = raw_findings(prepare(docs, patterns, {r: o for r, (_, o) in settings.items() if r in CONTEXT_RULES}), settings)
-    rows = rows.filter(~suppressed(F.col("f.index"), F.concat(F.lit(NAMESPACE + "/"), F.col("f.rule"))))
+    rows = prepare(docs, patterns, {r: o for r, (_, o) in settings.items() if r in CONTEXT_RULES})
+    full = lambda r: F.concat(F.lit(NAMESPACE + "/"), r)
+    found = F.filter(raw_findings(settings), lambda f: ~suppressed(f["index"], full(f["rule"])))
     if config.get("allowTerms"):
-        rows = rows.filter(~allowed(config["allowTerms"], F.col("f.rule"), F.col("f.index"), F.col("f.length")))
-    head = piece(F.col("text"), F.lit(0), F.col("f.index"))
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-    column = F.length(F.substring_index(head, "\n", -1)) + 1
-    cut = piece(F.col("redacted"), F.col("f.index") - 20, F.col("f.index") + F.col("f.length") + 20)
-    excerpt = F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, f"[{WS}]+", " "), "^ | $", ""), "[\\uE100\\uE102\\uE104][\\uE101\\uE103\\uE105]", "\ufffd")
-    out = rows.select("path", F.concat(F.lit(NAMESPACE + "/"), F.col("f.rule")).alias("rule_id"), F.col("f.severity").alias("severity"), line.cast("int").alias("line"), column.cast("int").alias("column"), F.col("f.index").cast("int").alias("index"), F.col("f.length").cast("int").alias("length"), F.col("f.message").alias("message"), excerpt.alias("excerpt"))
+        found = F.filter(found, lambda f: ~allowed(config["allowTerms"], f["rule"], f["index"], f["length"]))
+    placed = F.transform(found, lambda f: let(line_before(f["index"]), lambda n: F.struct(
+        full(f["rule"]).alias("rule_id"), f["severity"], (n + 1).cast("int").alias("line"), (f["index"] - F.get("starts", n) + 1).cast("int").alias("column"), f["index"].cast("int").alias("index"), f["length"].cast("int").alias("length"),
+        f["message"], excerpt(f["index"] - 20, f["index"] + f["length"] + 20).alias("excerpt"))))
+    out = rows.select("path", F.explode(placed).alias("f")).select("path", *[F.col("f")[c].alias(c) for c in ("rule_id", "severity", "line", "column", "index", "length", "message", "excerpt")])
     none = F.array().cast("array<struct<column:int,index:int,length:int,excerpt:string>>")
     out = out.withColumn("occurrences", none)
     return collapse(out, config.get("occurrenceMergeDistance", MERGE_DISTANCE)) if config.get("collapseOccurrences") else out

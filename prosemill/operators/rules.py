@@ -6,6 +6,7 @@ of a row have run. Rules that need order or adjacent text across markup are in c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def finding(index: Column, length: Column, message: Column | str, severity: Colu
     return F.struct(index.cast("long").alias("index"), length.cast("long").alias("length"), m.alias("message"), s.alias("severity"))
 
 
+def texts(words: list[str]) -> Column:
+    """An array of texts, made in one call."""
+    return F.from_json(F.lit(json.dumps(words)), "array<string>")
+
+
 def span(x: Column) -> Column:
     return F.least(x["end"] - x["start"], F.lit(80))
 
@@ -289,7 +295,7 @@ def thin_sentence(o: Options) -> Column:
     p, vague = any_literal(o["vaguePredicates"]), strings(o["vaguePredicates"])
     if not p:
         return none()
-    times = lambda t, words: sum(((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in strings(words)), F.lit(0.0))
+    times = lambda t, words: F.aggregate(texts(strings(words)), F.lit(0.0), lambda a, w: a + (F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w))
     opens, closes = "「『“", "」』”"
 
     def concession(t: Column) -> Column:

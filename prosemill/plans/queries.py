@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import LEXICONS
 from ..functions.textops import find_all
-from ..operators import audit, diff, evaluate, extract_html, report
+from ..operators import audit, diff, evaluate, extract_html, markdown, report
 from ..operators.lint import collapse, lint
 from ..sources.files import table_documents
+from .cases import PASSAGES
 from .catalogue import NAMESPACE, PROFILE_CONFIGS, RULES, default_options, profile_rules, rules
 
 PARAGRAPHS = [
@@ -125,20 +126,29 @@ def _words(rule: str, key: str) -> list[str]:
     return LEXICONS[rule][key]
 
 
-def rule_sql() -> dict[str, str]:
+def passage_sql(rule: str) -> str:
+    """The passages that PASSAGES lists for a rule, wherever their paragraph stands."""
+    rows = ", ".join(f"({i}, {_sql_text(x)})" for i, x in PASSAGES[rule])
+    return f"""WITH {_BASE}, want(i, x) AS (VALUES {rows}), h AS (SELECT path, t, (ofs + strpos(p, x) - 1)::INTEGER AS "index", x FROM blk JOIN paras ON paras.body = blk.p JOIN want ON want.i = paras.i) {_select(rule, 'least(length(x), 80)', 'h')}"""
+
+
+def rule_sql(options: dict[str, dict] | None = None) -> dict[str, str]:
+    """The findings of each rule on the derived corpus; options: by rule, over the defaults."""
     deictic = sorted(_words("unclear-deictic", "deicticPhrases"), key=lambda w: -len(w))
     tails = ["ら", *_words("unclear-deictic", "fixedPhraseTails")]
     possible = [w for w in _words("over-possibility", "possibilityPhrases") if w != "ことがある"]
-    o = default_options
+    o = lambda r: default_options(r) | (options or {}).get(r, {})
     polite = literal_sql("excessive-politeness", ["させていただくこととなりました", "させていただきたく存じます"])
     heavy = literal_sql("translationese", _words("translationese", "directPatterns"))
     both = lambda a, b: f"SELECT * FROM ({a}) UNION ALL SELECT * FROM ({b})"
     noun = "[ぁ-んァ-ン一-龠々]{1,10}(?:[性化的感力度論観像]|性質)"
-    return {
+    dense = paragraph_sql("weasel-phrases", _count(_words("weasel-phrases", "phrases")), o("weasel-phrases")["maxPerParagraph"])
+    return {r: passage_sql(r) for r in PASSAGES} | {
+        "weasel-phrases": both(passage_sql("weasel-phrases"), dense),
         "hidden-unicode-controls": literal_sql("hidden-unicode-controls", ["[​-‍⁠﻿‪-‮⁦-⁩]"]),
         "list-intro-padding": literal_sql("list-intro-padding", _words("list-intro-padding", "phrases")),
         "chat-response-leakage": literal_sql("chat-response-leakage", _words("chat-response-leakage", "phrases")),
-        "empty-conclusion": literal_sql("empty-conclusion", _words("empty-conclusion", "patterns")),
+        "empty-conclusion": literal_sql("empty-conclusion", o("empty-conclusion")["patterns"]),
         "placeholder": literal_sql("placeholder", ["TODO", "未定", "要確認", "仮置き"]),
         "long-sentence": sentence_sql("long-sentence", f"length(m) > {o('long-sentence')['maxChars']}", f"CASE WHEN length(m) > {o('long-sentence')['errorChars']} THEN 'error' ELSE 'warning' END"),
         "long-paragraph": paragraph_sql("long-paragraph", f"greatest(length(p) - {o('long-paragraph')['maxChars']}, len(list_filter(regexp_extract_all(p, '{SENTENCE}'), lambda x: length(x) >= 5)) - {o('long-paragraph')['maxSentences']})", 0),
@@ -216,11 +226,8 @@ def label_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of Markdown lines of the whole corpus, by language."""
-    from ..functions.jsregex import java
-
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l"))
-    kinds = [(r"^\s*$", "blank"), (r"^\s{0,3}#{1,6}\s+\S", "heading"), (r"^\s*\|.*\|\s*$", "table"), (r"^\s*(?:\d+[.)]|[*+-])\s+\S", "list"), (r"^\s{0,3}>\s?", "quote"), (r"^\s{0,3}(?:[*_-]\s*){3,}$", "thematic")]
-    kind = F.coalesce(*[F.when(F.col("l").rlike(java(p)), F.lit(k)) for p, k in kinds], F.lit("normal"))
+    kind = markdown.kind_of(F.col("l"))
     return d.groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("l")).alias("chars"))
 
 
@@ -253,27 +260,6 @@ def profile_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.profile_issues(spark)
 
 
-def lint_profile(name: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lint(corpus(spark, sf_dir), PROFILE_CONFIGS[name]).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
-
-    return run
-
-
-def lint_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lint(corpus(spark, sf_dir), PROFILE_CONFIGS["strict"] | {"collapseOccurrences": True})
-    return found.select("path", "rule_id", "severity", "line", "column", F.size("occurrences").alias("n_more"))
-
-
-def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif_results(lint(corpus(spark, sf_dir), PROFILE_CONFIGS["general"])).select("path", "ruleId", "level", F.to_json("locations").alias("locations"))
-
-
-def file_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    return report.file_payloads(lint(docs, PROFILE_CONFIGS["minimal"]), docs)
-
-
 _EX = r"(?is)"
 
 
@@ -328,6 +314,5 @@ QUERIES: dict[str, Query] = {f"rule_{r.replace('-', '_')}": rule_query(r) for r
     f.__name__: f
     for f in (
         find_words, collapse_findings, summary_counts, top_lines, merged_intervals, multiset_difference, run_diff, label_evaluation, line_kinds, extract_pages, replies_by_role, catalogue_rules, profile_matrix, profile_enabled, profile_issues,
-        lint_collapsed, sarif_results, file_payloads,
     )
-} | {f"lint_{p.replace('-', '_')}": lint_profile(p) for p in ("minimal", "general", "technical", "strict")}
+}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from prosemill.plans.queries import ORACLE, QUERIES
+from prosemill.plans.registry import ORACLE, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
