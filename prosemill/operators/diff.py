@@ -10,11 +10,11 @@ KEY = ["path", "line", "column", "rule_id"]
 
 
 def multiset_diff(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """key, n-th of its kind, status: removed, added or persisted; equal keys are matched one to one."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    a, b = (d.select(*key).withColumn("nth", nth).withColumn(f"in_{s}", F.lit(True)) for d, s in ((old, "old"), (new, "new")))
-    status = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("persisted")
-    return a.join(b, [*key, "nth"], "full_outer").select(*key, "nth", status.alias("status"))
+    """key, status, n: how many of equal keys were removed, added or persisted, matched one to one; a key, however common, is summed before it meets."""
+    c = count_diff(old, new, *key)
+    both = F.least("n_old", "n_new")
+    each = F.array(*[F.struct(F.lit(s).alias("status"), n.alias("n")) for s, n in (("persisted", both), ("removed", F.col("n_old") - both), ("added", F.col("n_new") - both))])
+    return c.select(*key, F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("s")).select(*key, "s.status", "s.n")
 
 
 def count_diff(old: DataFrame, new: DataFrame, *by: str) -> DataFrame:

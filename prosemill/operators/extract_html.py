@@ -69,7 +69,7 @@ def extraction_status(df: DataFrame, url: str = "url", kind: str | None = None,
 
 
 def strip_wiki(text: Column) -> Column:
-    """Text without balanced wiki templates, link brackets, magic words and menu lines."""
+    """Text without balanced wiki templates, link brackets and magic words."""
     parts = F.split(text, r"(?<=\{\{)|(?=\{\{)|(?<=\}\})|(?=\}\})", -1)
 
     def step(a: Column, v: Column) -> Column:

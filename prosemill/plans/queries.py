@@ -208,7 +208,7 @@ def _lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines_of(spark, sf_dir)
-    return diff.multiset_diff(rows.filter("side = 'old'"), rows.filter("side = 'new'")).groupBy("path", "status").agg(F.count("*").alias("n"))
+    return diff.multiset_diff(rows.filter("side = 'old'"), rows.filter("side = 'new'")).groupBy("path", "status").agg(F.sum("n").alias("n"))
 
 
 def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
