@@ -29,6 +29,8 @@ RARE, FLOOR = 0.005, 0.97
 DEALT = 512
 #: Members of a bucket up to which pairs of different classes are listed; those of a larger one are compared in tiles of TILE by TILE texts.
 PAIRS, TILE, SLICE = 64, 512, 4096
+#: Partners of a text that one task compares with it.
+SHARE = 2000
 CHUNK = 4_000_000
 
 
@@ -173,8 +175,17 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, n: int, simil
     if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # only the texts of few pairs are dealt out
         ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
         texts = texts.join(F.broadcast(ids), "rid", "left_semi")
-    with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    # a text with many partners, as the lead of a large bucket, is copied to several tasks, which share its partners
+    shares = F.ceil(F.col("count") / SHARE).cast("int").alias("shares")
+    hot = durable(pairs.groupBy("a").count().filter(F.col("count") > SHARE).select("a", shares))
+    left, right, on = pairs, texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), ["a"]
+    if not hot.isEmpty():
+        of = F.coalesce("shares", F.lit(1))
+        left = left.join(small(hot), "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), of).cast("int")).drop("shares")
+        right = right.join(small(hot), "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0), of - 1))).drop("shares")
+        on = ["a", "share"]
+    with_b = left.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
+    return with_b.join(right, on).select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
 def tiled(members: DataFrame, texts: DataFrame, weights: Weights, n: int, similarity: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import docs, durable, small
+from .common import docs, durable, small, stored
 
 BITS, STEP = 60, 6
 SHARD_BYTES = 8 << 20
@@ -23,13 +23,13 @@ def _hash(key: Column, text: Column) -> Column:
     return F.shiftleft(part(key, 8), 28).bitwiseOR(part(text, 7))
 
 
-def shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
-    """Rows of df's key with n_bytes, depth, prefix (the hash's first `depth` bits), page and shard.
+def shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of df's key and the columns to carry with n_bytes, depth, prefix (the hash's first `depth` bits), page and shard.
 
     No shard holds more than `limit` bytes unless it is one row larger than that, which stays alone. A null text has 0 bytes, a null key
     hashes as an empty one. Rows alike in key and text can't be parted by bits; they go to numbered overflow pages of one bucket. An
     empty table gives an empty result."""
-    rows = durable(df.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), _hash(F.col(key), F.col(text)).alias("h")))
+    rows = durable(df.select(*carry, F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), _hash(F.col(key), F.col(text)).alias("h")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     deep = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + STEP)
     done, open_rows, low = None, rows, 0
@@ -53,7 +53,7 @@ def shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
             done = done.unionByName(_pages(open_rows, limit))
             break
         low, deep = deep + 1, min(BITS, deep + STEP)
-    return done.select(key, "n_bytes", "depth", "prefix", "page", F.concat_ws("-", "depth", F.lpad(F.conv(F.col("prefix").cast("string"), 10, 16), 15, "0"), "page").alias("shard"))
+    return done.select(*carry, key, "n_bytes", "depth", "prefix", "page", F.concat_ws("-", "depth", F.lpad(F.conv(F.col("prefix").cast("string"), 10, 16), 15, "0"), "page").alias("shard"))
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -68,9 +68,12 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """df written as Parquet folders shard=..., each within the limit; rows of equal key and different shards get either."""
-    names = shards(df, key, text, limit).groupBy(key).agg(F.min("shard").alias("shard"))
-    df.join(names, df[key].eqNullSafe(names[key])).drop(names[key]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """df written as Parquet folders shard=..., each within the limit, with its columns (but one named shard). Rows of equal key and text, which pages part, are told apart by their row."""
+    names = [c for c in df.columns if c.lower() != "shard"]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = stored(df.select(row, F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text")))
+    put = shards(rows, "key", "text", limit, ("uid",)).select("uid", "shard")
+    rows.select("row", "uid").join(put, "uid").select("row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
