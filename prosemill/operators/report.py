@@ -90,15 +90,23 @@ def sarif(findings: DataFrame) -> str:
 
 
 def markdown_report(findings: DataFrame, docs: DataFrame, title: str = "Lint report", max_detail: int = 200) -> str:
-    """Totals, counts by severity and rule, files, and the first max_detail findings."""
+    """Totals, counts by severity and rule, files with their most frequent rules, clean files, and findings with their excerpts; of files and findings max_detail each."""
     s = summarize(findings, docs).first()
     by = lambda m, key: sorted(m.items(), key=key)
     out = [f"# {title}", "", f"Files: {s['files']}. Findings: {s['findings']}.", "", "| severity | n |", "|---|---|"]
     out += [f"| {k} | {n} |" for k, n in by(s["by_severity"], lambda x: (-x[1], -RANK.get(x[0], 0)))]
-    out += ["", "| rule | n |", "|---|---|", *[f"| {k} | {n} |" for k, n in by(s["by_rule"], lambda x: (-x[1], x[0]))], "", "| file | n |", "|---|---|"]
-    out += [f"| {r['path']} | {r['n']} |" for r in counts_by(findings, "path").orderBy(F.col("n").desc(), "path").limit(max_detail).collect()]
+    out += ["", "| rule | n |", "|---|---|", *[f"| {k} | {n} |" for k, n in by(s["by_rule"], lambda x: (-x[1], x[0]))], "", "| file | n | most frequent |", "|---|---|---|"]
+    most = counts_by(findings, "path").orderBy(F.col("n").desc(), "path").limit(max_detail)
+    top: dict[str, list[str]] = {}
+    for r in top_rules(findings.join(F.broadcast(most.select("path")), "path", "left_semi")).orderBy("path", "place").collect():  # three rows a file at most
+        top.setdefault(r["path"], []).append(f"{r['rule_id']} {r['n']}")
+    out += [f"| {r['path']} | {r['n']} | {', '.join(top[r['path']])} |" for r in most.collect()]
+    clean = docs.select("path").distinct().join(findings.select("path").distinct(), "path", "left_anti")
+    n = clean.count()
+    out += ["", f"Files without findings: {n}.", *[f"- {r['path']}" for r in clean.orderBy("path").limit(max_detail).collect()]]
     out += ["", "## Findings", ""]
-    out += [f"- {r['path']}:{r['line']}:{r['column']} {r['severity']} {r['rule_id']}: {r['message']}" for r in findings.orderBy("path", "index", "rule_id").limit(max_detail).collect()]
+    for r in findings.orderBy("path", "index", "rule_id").limit(max_detail).collect():
+        out += [f"- {r['path']}:{r['line']}:{r['column']} {r['severity']} {r['rule_id']}: {r['message']}", *([f"  > {r['excerpt']}"] if r["excerpt"] else [])]
     return "\n".join(out) + "\n"
 
 

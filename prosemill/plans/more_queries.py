@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, diff, evaluate, report
+from ..operators import audit, bench, diff, evaluate, report
 from ..operators.lint import lint
 from .cases import CASES
 from .catalogue import NAMESPACE, PROFILE_CONFIGS, PROFILES, RULES, default_options, default_severity
@@ -223,6 +223,17 @@ _STATUS = f"""WITH {_HITS}, d AS (SELECT doc_id, doc_id::VARCHAR AS path FROM do
 FROM d LEFT JOIN f USING (path) GROUP BY 1, 2, 3) SELECT path, n_old, n_new, CASE WHEN NOT was THEN 'new' WHEN NOT now THEN 'old-only' WHEN n_new < n_old THEN 'improved' WHEN n_new > n_old THEN 'regressed' ELSE 'unchanged' END AS status FROM n"""
 
 
+def bench_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a bench, made of the hits: even places before, uneven ones after, documents' lines as rules, languages as profiles."""
+    lang = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("profile"))
+    side = lambda k: _hits(spark, sf_dir).filter(F.col("index") % 2 == k).join(lang, "path").groupBy("profile", F.col("line").cast("string").alias("rule_id")).agg(F.count("*").alias("n"))
+    return bench.bench_diff(side(0), side(1))
+
+
+_BENCH = f"""WITH {_HITS}, r AS (SELECT lang AS profile, line::VARCHAR AS rule_id, count(*) FILTER ("index" % 2 = 0) AS n_old, count(*) FILTER ("index" % 2 = 1) AS n_new FROM f JOIN documents ON doc_id::VARCHAR = path GROUP BY 1, 2)
+SELECT *, n_new - n_old AS delta FROM r WHERE n_new <> n_old AND profile IN (SELECT profile FROM r GROUP BY 1 HAVING sum(n_old) > 0 AND sum(n_new) > 0)"""
+
+
 def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest made of the documents, with faults in every few records."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
@@ -252,10 +263,10 @@ QUERIES = {f"lint_{p.replace('-', '_')}": lint_profile(p) for p in PROFILES} | {
     f.__name__: f
     for f in (
         lint_collapsed, sarif_results, file_payloads, report_summary, config_overlay, allowed_terms, ignored_lines, rule_cases, goldset_by_rule, goldset_counts, goldset_findings, goldset_reviews, goldset_coverage, file_status, manifest_audit,
-        package_audit,
+        package_audit, bench_diff,
     )
 }
 ORACLE: dict[str, str] = {f"lint_{p.replace('-', '_')}": counts_sql(PROFILE_CONFIGS[p]) for p in PROFILES} | _GOLD_SQL | {
     "lint_collapsed": _COLLAPSED, "sarif_results": _SARIF, "file_payloads": _PAYLOADS, "report_summary": _SUMMARY, "config_overlay": _OVERLAY, "allowed_terms": _ALLOWED, "ignored_lines": _IGNORED, "rule_cases": _CASES, "goldset_reviews": _REVIEWS,
-    "goldset_coverage": _COVERAGE, "file_status": _STATUS, "manifest_audit": _MANIFEST, "package_audit": _PACKAGE,
+    "goldset_coverage": _COVERAGE, "file_status": _STATUS, "manifest_audit": _MANIFEST, "package_audit": _PACKAGE, "bench_diff": _BENCH,
 }

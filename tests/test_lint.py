@@ -59,6 +59,29 @@ def test_runs_compared(spark):
     assert got == [("a", "persisted"), ("a", "removed"), ("b", "removed"), ("c", "added")]
 
 
+def test_bench_snapshots_and_selection(spark, tmp_path):
+    from prosemill.operators import bench
+
+    docs = spark.createDataFrame([("a", "TODOとTODO。"), ("b", "静かな朝です。")], "path string, text string")
+    counts, times = bench.bench({"x": docs}, ["minimal"])
+    assert {(r["rule_id"], r["n"]) for r in counts.collect()} == {(f"{NAMESPACE}/placeholder", 2)} and times.count() == 1
+    less = counts.withColumn("n", counts["n"] - 1)
+    assert [(r["n_old"], r["n_new"], r["delta"]) for r in bench.bench_diff(counts, less).collect()] == [(2, 1, -1)]
+    text = bench.diff_markdown(bench.bench_profiles(counts, less, times, times), bench.bench_diff(counts, less))
+    assert "| minimal | 2 | 1 | -1 |" in text and "placeholder | 2 | 1 | -1 |" in text
+    found, path = lint(docs, PLACEHOLDER), str(tmp_path / "snapshots")
+    bench.snapshot(found, docs, path, "one")
+    bench.snapshot(found.filter("index > 0"), docs, path, "two")
+    table = spark.read.parquet(path)
+    assert table.filter("snapshot = 'one'").count() == 2
+    assert [(r["path"], r["n_old"], r["n_new"]) for r in bench.snapshot_diff(table, "one", "two").collect()] == [("a", 2, 1)]
+    assert bench.selected(docs, ["b"], "path").count() == 1 and bench.selected(docs, [], "path").count() == 2
+    with pytest.raises(ValueError):
+        bench.selected(docs, ["b", "c"], "path")
+    text = report.markdown_report(found, docs)
+    assert f"| a | 2 | {NAMESPACE}/placeholder 2 |" in text and "Files without findings: 1.\n- b" in text and "  > TODOとTODO。" in text
+
+
 def test_stream_gives_the_same_findings(spark, tmp_path):
     from prosemill.streaming.lint_stream import stream_documents, stream_findings
 
