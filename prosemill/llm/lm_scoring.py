@@ -5,8 +5,8 @@ each block and hash bucket: the block's distinct n-grams of that bucket, as gaps
 table's partition, which sums all blocks' counts; joined back by block, each block's n-grams have their totals, from which the
 document's own counts are taken off, so that no document vouches for itself, and the words' scores are summed per document.
 
-A row for each n-gram would be the plainest form of these tables, yet at some 240 million n-grams a GB its two shuffles exceed four times the
-input; packed rows hold the same columns. Empty ones are not sent, so there are never more rows than n-grams.
+A row for each document's n-gram would be the plainest form of these tables, yet one shuffle of the bigrams alone is 2.4 times the input;
+packed rows hold the same columns. Empty ones are not sent, so there are never more rows than n-grams.
 """
 
 from __future__ import annotations
