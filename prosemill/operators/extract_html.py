@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.textops import let
+
 LEAST = 20
 _NAMED = [("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("ensp", " "), ("emsp", " "), ("thinsp", " "), ("copy", "(c)"), ("reg", "(R)")]
 CANDIDATES = [r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<article\b[^>]*>(.*?)</article>", r"""(?is)<div\b[^>]*(?:class|id)=["'][^"']*(?:markdown-body|main|article|content)[^"']*["'][^>]*>(.*?)</div>""", r"(?is)<body\b[^>]*>(.*?)</body>"]
@@ -55,10 +57,15 @@ def to_markdown(html: Column) -> Column:
 
 def extract(html: Column) -> Column:
     """The text of a page's main part: of main, article, a content division, the body and the whole page, the first that gives LEAST characters; if none does, the first there is."""
-    clean = without_noise(html)
-    texts = [F.when(clean.rlike(p), to_markdown(F.regexp_extract(clean, p, 1))) for p in CANDIDATES] + [to_markdown(clean)]
-    long = [F.when(F.length(t) >= LEAST, t) for t in texts]
-    return F.coalesce(*long, *[F.when(t != "", t) for t in texts], F.lit(""))
+
+    def after(clean: Column, k: int, best: Column) -> Column:
+        """From the k-th candidate on, each converted only if those before were too short; best: the first text so far."""
+        if k > len(CANDIDATES):
+            return F.coalesce(best, F.lit(""))
+        own = F.when(clean.rlike(CANDIDATES[k]), to_markdown(F.regexp_extract(clean, CANDIDATES[k], 1))) if k < len(CANDIDATES) else to_markdown(clean)
+        return let(own, lambda t: F.when(F.length(t) >= LEAST, t).otherwise(after(clean, k + 1, F.coalesce(best, F.when(t != "", t)))))
+
+    return let(without_noise(html), lambda clean: after(clean, 0, F.lit(None).cast("string")))
 
 
 def extraction_status(df: DataFrame, url: str = "url", kind: str | None = None, text: str = "markdown") -> DataFrame:
