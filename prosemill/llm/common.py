@@ -34,6 +34,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes what durable() kept for df; only for callers that know no one reads it any more."""
+    spark = df.sparkSession
+    kept = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if kept.isDefined():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.get())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def compact(df: DataFrame) -> DataFrame:
     """A durable table read by as many tasks as its counted rows need, so that rounds over few rows don't write a file for each of many partitions."""
     return df.coalesce(max(TASKS, math.ceil(df.count() / TASK_ROWS)))

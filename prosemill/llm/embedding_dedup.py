@@ -2,30 +2,39 @@
 
 Unit vectors of cosine >= c are at a squared distance of at most 2 - 2c. After one rotation that all share, the coordinates are split
 into blocks; in one block at least, a pair of links keeps within that block's proportional share of the distance. Each block's
-range join orders the vectors by the block's leading coordinate, deals them to bins of bounded size and meets only bins whose
+range join orders the vectors by the block's leading coordinate, packs them to bins of bounded size and meets only bins whose
 intervals are within the block's radius; pairs of the bins within the budget over the whole block are verified exactly. A pair counts in the first block that
 finds it, so links are counted once without gathering pairs.
+
+A bin is one row, kept once in the shared folder. The join of bins with bins reads these rows where they are, so that nothing is shuffled for a pair of bins;
+blocks are joined one after the other, and the bins of one are removed before those of the next are made. Disk so grows with the vectors, and only work with the pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import durable, small
+from .common import dropped, durable, made, released, stored, tidy
 from .components import components
 
 BLOCKS, BIN, TILE, SEED, SLACK = 4, 4096, 1024, 11, 1e-9
 #: Distances and cosines within BAND of their bound are decided pair by pair, PAIRS at a time.
 BAND, PAIRS = 1e-10, 1 << 16
+#: Bytes of a bin's vectors in double precision, and of the vectors in a task's part of the bins; parts that a small table has at most; bins that a task keeps unpacked.
+BIN_BYTES, PART_BYTES, PARTS, HELD = 8 << 20, 16 << 20, 8, 8
 
 
+@functools.lru_cache(8)
 def rotation(dim: int) -> np.ndarray:
     """A fixed orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dim, dim)))
@@ -37,8 +46,21 @@ def cuts(dim: int, blocks: int = BLOCKS) -> list[int]:
     return [dim * i // n for i in range(n + 1)]
 
 
+def precision(df: DataFrame, vec: str) -> str:
+    """NumPy's name of the precision that holds the vectors as they are."""
+    return "<f4" if df.schema[vec].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def units(raw: bytes, dim: int, code: str) -> np.ndarray:
+    """Unit vectors of a bin; each the same bits in whatever bin it is."""
+    x = np.frombuffer(raw, code).reshape(-1, dim).astype(np.float64)
+    y = x / np.abs(x).max(1)[:, None]  # no overflow or underflow of the norm
+    return y / np.sqrt((y * y).sum(1))[:, None]
+
+
 def prepared(df: DataFrame, vec: str, key: str, blocks: int) -> DataFrame:
-    """Rows of key, digest and dim (null: not to be linked), unit vector as bytes, and the blocks' leading coordinates."""
+    """Rows of key, digest and dim (null: not to be linked), vector as bytes in its own precision, and the blocks' leading coordinates."""
+    code = precision(df, vec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,11 +72,10 @@ def prepared(df: DataFrame, vec: str, key: str, blocks: int) -> DataFrame:
                     digests.append(None), dims.append(None), raws.append(None), leads.append(None)
                     continue
                 y = x / top  # no overflow or underflow of the norm
-                u = y / np.sqrt(y @ y)
-                r = u @ rotation_of(len(u))
-                raw = (x + 0.0).tobytes()
-                digests.append(hashlib.blake2b(raw, digest_size=16).digest()), dims.append(len(u)), raws.append(u.tobytes()), leads.append([float(r[c]) for c in cuts(len(u), blocks)[:-1]])
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(leads, pa.list_(pa.float64()))], ["key", "digest", "dim", "unit", "lead"])
+                r = y / np.sqrt(y @ y) @ rotation_of(len(y))
+                x += 0.0
+                digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest()), dims.append(len(x)), raws.append(x.astype(code).tobytes()), leads.append([float(r[c]) for c in cuts(len(x), blocks)[:-1]])
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(leads, pa.list_(pa.float64()))], ["key", "digest", "dim", "vec", "lead"])
 
     held: dict[int, np.ndarray] = {}
 
@@ -64,48 +85,97 @@ def prepared(df: DataFrame, vec: str, key: str, blocks: int) -> DataFrame:
         return held[n]
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, vec).mapInArrow(run, f"key {kind}, digest binary, dim int, unit binary, lead array<double>")
-
-
-def bins(groups: DataFrame) -> DataFrame:
-    """groups by block with the bin of each: BIN neighbours in the order of the block's leading coordinate; lo and hi: the bin's interval."""
-    each = groups.select("key", "n", "dim", "unit", F.posexplode("lead").alias("block", "x"))
-    order = durable(each.repartitionByRange("dim", "block", "x", "key").sortWithinPartitions("dim", "block", "x", "key").withColumn("part", F.spark_partition_id()))
-    counts = sorted(tuple(r) for r in order.groupBy("dim", "block", "part").count().collect())  # a row for each partition and block
-    before, base, of = [], 0, None
-    for dim, block, part, n in counts:
-        base, of = (base if of == (dim, block) else 0), (dim, block)
-        before.append((dim, block, part, base))
-        base += n
-    parts = small(order.sparkSession.createDataFrame(before, "dim int, block int, part int, base long"))
-    nth = F.row_number().over(Window.partitionBy("dim", "block", "part").orderBy("x", "key")) - 1
-    return durable(order.withColumn("nth", nth).join(parts, ["dim", "block", "part"]).withColumn("bin", F.floor((F.col("nth") + F.col("base")) / BIN).cast("int")).select("key", "n", "dim", "unit", "block", "x", "bin"))
-
-
-def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
-    """(key, n_links, root): what each pair of bins adds to a vector's links, and a vector that it is joined with there."""
+    return df.select(key, vec).mapInArrow(run, f"key {kind}, digest binary, dim int, vec binary, lead array<double>")
+
+
+def bins(groups: DataFrame, block: int, whole: float, blocks: int, n: int, size: int) -> DataFrame:
+    """The block's bins, a row each: dim, bin, lo and hi (interval of the leading coordinate), reach (up to where the next bins meet it), keys, counts and vectors.
+
+    groups: n rows with vectors of size bytes in all."""
+    each = groups.filter(F.size("lead") > block).select("dim", F.col("lead")[block].alias("x"), "key", "n", "vec")
+    parts = max(1, math.ceil(size / PART_BYTES), min(PARTS, math.ceil(n / BIN)))
+    order = each.repartitionByRange(parts, "dim", "x", "key").sortWithinPartitions("dim", "x", "key").coalesce(parts)
+    kind = groups.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held, rows, dim, room = TaskContext.get().partitionId(), 0, [], 0, 0, 0
+
+        def emit() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            x, c, ends = t["x"].to_numpy(), cuts(dim, blocks), pa.array([0, t.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, t[name].combine_chunks()) for name in ("key", "n")]
+            reach = x.max() + math.sqrt((whole + SLACK) * (c[block + 1] - c[block]) / dim) + SLACK
+            one = [pa.array([dim], pa.int32()), pa.array([(part << 32) + made], pa.int64()), *[pa.array([float(v)]) for v in (x.min(), x.max(), reach)], *lists, pa.array([b"".join(t["vec"].to_pylist())], pa.binary())]
+            return pa.record_batch(one, ["dim", "bin", "lo", "hi", "reach", "keys", "counts", "vecs"])
+
+        for batch in batches:
+            dims, at = batch.column(0).to_numpy(), 0
+            while at < len(dims):
+                if held and (dims[at] != dim or rows >= room):
+                    yield emit()
+                    held, rows, made = [], 0, made + 1
+                dim = int(dims[at])
+                room = max(1, min(BIN, BIN_BYTES // (8 * dim)))
+                end = min(at + room - rows, at + int(np.argmax(np.append(dims[at:] != dim, True))))
+                held.append(batch.slice(at, end - at))
+                rows, at = rows + end - at, end
+        if held:
+            yield emit()
+
+    return durable(order.mapInArrow(run, f"dim int, bin long, lo double, hi double, reach double, keys array<{kind}>, counts array<long>, vecs binary"))
+
+
+def linked(placed: DataFrame, block: int, cosine: float, blocks: int, code: str) -> DataFrame:
+    """(key, n_links, root): what each pair of the block's bins adds to a vector's links, and a vector that it is joined with there."""
     whole = 2 - 2 * cosine
-    ends = durable(placed.groupBy("dim", "block", "bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
-    l, r = ends.alias("l"), ends.alias("r")  # bins, not rows
-    cut = lambda i: F.floor(F.col("l.dim") * i / F.least(F.lit(blocks), F.col("l.dim")))  # noqa: E731  as cuts()
-    radius = F.sqrt(F.lit(whole + SLACK) * (cut(F.col("l.block") + 1) - cut(F.col("l.block"))) / F.col("l.dim")) + SLACK
-    meets = durable(l.join(r, (F.col("l.dim") == F.col("r.dim")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.bin") <= F.col("r.bin")) & (F.col("r.lo") <= F.col("l.hi") + radius)).select(
-        F.col("l.dim").alias("dim"), F.col("l.block").alias("block"), F.col("l.bin").alias("p"), F.col("r.bin").alias("q")))
-    side = lambda c, name: placed.join(small(meets), (placed["dim"] == meets["dim"]) & (placed["block"] == meets["block"]) & (placed["bin"] == meets[c])).select(placed["dim"], placed["block"], "p", "q", F.lit(name).alias("side"), "key", "n", "unit")
-    rows = side("p", 0).unionByName(side("q", 1).filter("p != q"))
-    kind = placed.schema["key"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
-        order = np.argsort(table["side"].to_numpy(), kind="stable")
-        side = table["side"].to_numpy()[order]
-        u = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(-1, dim)[order]
-        n = table["n"].to_numpy()[order]
+    other = placed.select([F.col(c).alias("r_" + c) for c in placed.columns]).hint("shuffle_replicate_nl")  # parts are read again for each other part; nothing is shuffled
+    meets = (F.col("dim") == F.col("r_dim")) & (F.col("bin") <= F.col("r_bin")) & (F.col("r_lo") <= F.col("reach")) & (F.col("lo") <= F.col("r_reach"))
+    rows = placed.join(other, meets).select("dim", "bin", "r_bin", "keys", "r_keys", "counts", "r_counts", "vecs", "r_vecs")
+    kind = placed.schema["keys"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, tuple] = OrderedDict()
+
+        def opened(name: int, dim: int, raw: bytes) -> tuple:
+            """Unit vectors, and single-precision rows whose products with each other's turned rows are the block's squared distances times -1/2."""
+            if name not in held:
+                c, u = cuts(dim, blocks), units(raw, dim, code)
+                z = u @ rotation(dim)[:, c[block] : c[block + 1]]
+                half, one = (z * z).sum(1)[:, None] / -2, np.ones((len(z), 1))
+                held[name] = u, np.hstack([z, half, one]).astype(np.float32), np.hstack([z, one, half]).astype(np.float32)
+            held.move_to_end(name)
+            while len(held) > HELD:
+                held.popitem(last=False)
+            return held[name]
+
+        for batch in batches:
+            cols = [batch.column(i) for i in range(9)]
+            for k in range(batch.num_rows):
+                dim, p, q = (cols[i][k].as_py() for i in range(3))
+                sides = [(p, 3, 5, 7)] if p == q else [(p, 3, 5, 7), (q, 4, 6, 8)]
+                keys = pa.concat_arrays([cols[i][k].values for _, i, _, _ in sides])
+                n = np.concatenate([cols[i][k].values.to_numpy() for _, _, i, _ in sides])
+                got = pairs(dim, n, [opened(name, dim, cols[i][k].as_buffer()) for name, _, _, i in sides])
+                if got:
+                    some, links, roots = got
+                    yield pa.record_batch([keys.take(pa.array(some)), pa.array(links), keys.take(pa.array(roots))], ["key", "n_links", "root"])
+
+    def pairs(dim: int, n: np.ndarray, sides: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Vectors with links, their links and roots; the vectors of both bins are counted through."""
         turn, c = rotation(dim), cuts(dim, blocks)
-        z = np.stack([x @ turn for x in u])  # a row at a time, as in prepared(): the same bits in every pair of bins
         budget = [(whole + SLACK) * (c[i + 1] - c[i]) / dim for i in range(len(c) - 1)]
-        first, total = int((side == 0).sum()), len(side)
+        alone, first, total = len(sides) == 1, len(sides[0][0]), len(n)  # alone: a bin with itself
+        u = sides[0][0] if alone else np.concatenate([x[0] for x in sides])
+        left, right = sides[0][1], sides[-1][2]
+        # rounding of a distance in single precision is less than 4e-7 for each coordinate
+        least = np.float32(-(budget[block] + BAND + 4e-7 * (c[block + 1] - c[block] + 8)) / 2)
         links, parent = np.zeros(total, np.int64), np.arange(total)
+        turned: list[np.ndarray] = []
+
+        def z() -> np.ndarray:
+            if not turned:
+                turned.append(np.stack([x @ turn for x in u]))  # a row at a time: the same bits in every pair of bins
+            return turned[0]
 
         def find(i: int) -> int:
             while parent[i] != i:
@@ -114,7 +184,7 @@ def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
             return i
 
         def gaps(k: int, a: slice, b: slice) -> np.ndarray:
-            x, y = z[a, c[k] : c[k + 1]], z[b, c[k] : c[k + 1]]
+            x, y = z()[a, c[k] : c[k + 1]], z()[b, c[k] : c[k + 1]]
             return (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
 
         def linked_here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,34 +192,36 @@ def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
             keep = np.zeros(len(i), bool)
             for at in range(0, len(i), PAIRS):
                 s = slice(at, at + PAIRS)
-                d = (z[i[s]] - z[j[s]]) ** 2
                 ok = (u[i[s]] * u[j[s]]).sum(1) >= cosine
-                for k in range(block + 1):
-                    near = d[:, c[k] : c[k + 1]].sum(1) <= budget[k]
-                    ok &= near if k == block else ~near
+                if ok.any():
+                    d = (z()[i[s]] - z()[j[s]]) ** 2
+                    for k in range(block + 1):
+                        near = d[:, c[k] : c[k + 1]].sum(1) <= budget[k]
+                        ok &= near if k == block else ~near
                 keep[s] = ok
             return keep
 
-        alone = first == total  # a bin with itself
         for a0 in range(0, first, TILE):
             a = slice(a0, min(a0 + TILE, first))
             for b0 in range(a0 if alone else first, total, TILE):
                 b = slice(b0, min(b0 + TILE, total))
-                own = gaps(block, a, b) - budget[block]
-                hit = own <= BAND
+                base = 0 if alone else first
+                hit = left[a] @ right[b.start - base : b.stop - base].T >= least
                 if alone and a0 == b0:
                     hit &= np.triu(np.ones(hit.shape, bool), 1)
-                if not hit.any():
+                some = np.count_nonzero(hit)
+                if not some:
                     continue
                 sure = np.zeros_like(hit)
-                if hit.mean() > 0.02:  # dense: all of the tile at once, but for what is too close to call
+                if some > 0.02 * hit.size:  # dense: all of the tile at once, but for what is too close to call
+                    own = gaps(block, a, b) - budget[block]
                     over = u[a] @ u[b].T - cosine
-                    hit &= over >= -BAND
+                    hit &= (own <= BAND) & (over >= -BAND)
                     sure = hit & (own < -BAND) & (over > BAND)
                     for k in range(block):
-                        left = gaps(k, a, b) - budget[k]
-                        hit &= left >= -BAND
-                        sure &= left > BAND
+                        away = gaps(k, a, b) - budget[k]
+                        hit &= away >= -BAND
+                        sure &= away > BAND
                 i, j = np.nonzero(hit & ~sure)
                 keep = linked_here(i + a0, j + b0)
                 i, j = (np.concatenate([x, y[keep]]) for x, y in zip(np.nonzero(sure), (i, j)))
@@ -172,10 +244,9 @@ def linked(placed: DataFrame, cosine: float, blocks: int) -> DataFrame:
                         if p != q:
                             parent[max(p, q)] = min(p, q)
         some = np.flatnonzero(links)
-        keys = table["key"].take(pa.array(order)).combine_chunks()
-        return pa.table({"key": keys.take(pa.array(some)), "n_links": pa.array(links[some]), "root": keys.take(pa.array([find(int(k)) for k in some], pa.int64()))})
+        return (some, links[some], np.array([find(int(k)) for k in some], np.int64)) if len(some) else None
 
-    return rows.groupBy("dim", "block", "p", "q").applyInArrow(run, f"key {kind}, n_links long, root {kind}")
+    return rows.mapInArrow(run, f"key {kind}, n_links long, root {kind}")
 
 
 def embedding_dedup(df: DataFrame, vec: str = "embedding", key: str = "vec_id", cosine: float = 0.9, blocks: int = BLOCKS) -> DataFrame:
@@ -184,12 +255,26 @@ def embedding_dedup(df: DataFrame, vec: str = "embedding", key: str = "vec_id",
     Equal vectors are one group with its count; vectors of different dimensions are never linked. A vector that is null, empty or zero or
     has null or non-finite components has no links. Other columns of df are not read. Repeated rows are vectors of their own with a link to each other. An
     empty table gives an empty result."""
-    rows = durable(prepared(df, vec, key, blocks))
-    groups = durable(rows.filter("digest is not null").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.first("lead").alias("lead")))
-    found = durable(linked(bins(groups), cosine, blocks))
+    spark, since, code = df.sparkSession, made(), precision(df, vec)
+    whole = stored(prepared(df, vec, key, blocks))
+    groups = stored(whole.filter("digest is not null").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.first("lead").alias("lead")))
+    rows = durable(whole.select("key", "digest"))
+    released(spark, since)  # all but groups
+    tidy(spark)  # lets go of the shuffled vectors, here and after each block
+    n, size = groups.agg(F.count("*"), F.coalesce(F.sum(F.length("vec")), F.lit(0))).first()
+    found = []
+    for block in range(blocks):
+        placed = bins(groups, block, 2 - 2 * cosine, blocks, n, size)
+        found.append(durable(linked(placed, block, cosine, blocks, code)))
+        dropped(placed)
+        del placed
+        tidy(spark)
+    names = stored(groups.select("digest", "key", "n"))
+    released(spark, since)  # all but names
+    found = functools.reduce(DataFrame.unionByName, found)
     joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("key").agg(F.sum("n_links").alias("more"))
-    told = groups.select("digest", "key", "n").join(sums, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
+    told = names.join(sums, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
     told = told.select("digest", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component_id")).filter("n_links > 0 or component_id is null")
     out = rows.select("key", "digest").join(told, "digest", "left")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id"), (F.col("key") == F.coalesce("component_id", "key")).alias("kept"))

@@ -114,6 +114,20 @@ def test_op1_many_bins(spark, monkeypatch, dim, size):
     assert [got[i] for i in range(len(vectors) - 2)] == want[:-2]
 
 
+def test_op1_shuffles_no_vector_for_a_pair_of_bins(spark, monkeypatch):
+    """What is shuffled follows the vectors, not the pairs of bins; nearly all bins meet here."""
+    monkeypatch.setattr(embedding_dedup, "BIN", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64)).astype(np.float32)
+    x[700:800] = x[:100] + 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert got == {i: (int(i < 100 or 700 <= i < 800), i - 700 if 700 <= i < 800 else i) for i in range(1500)}
+    assert shuffled() - before < 12 * x.nbytes
+
+
 def test_op1_edges(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.embedding_dedup(empty).collect() == []
