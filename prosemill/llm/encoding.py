@@ -16,6 +16,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -44,7 +45,9 @@ def load(vocab: str):
 
 
 class Memo:
-    """chunk -> bytes; two generations, so that it never holds more than 2 * MEMO chunks."""
+    """chunk -> bytes; two generations, so that it never holds more than 2 * MEMO chunks.
+
+    make must not refer to the memo's owner: in a circle both outlive their task until the garbage collector comes, and a worker holds the memos of several tasks."""
 
     def __init__(self, make):
         self.make, self.new, self.old = make, {}, {}
@@ -111,20 +114,21 @@ class WordEncoder:
         self.tokenizer = load(vocab)
         self.merges = word_merges(self.tokenizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self._encode)
+        self.memo = Memo(partial(self._encode, self.tokenizer, self.merges, self.dtype.char))
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        code, out, rest = self.dtype.char, {}, []
+    @classmethod
+    def _encode(cls, tokenizer, merges, code: str, chunks: list[str]) -> list[bytes]:
+        out, rest = {}, []
         for c in chunks:
-            m = self.merges and self.SIMPLE.fullmatch(c)
+            m = merges and cls.SIMPLE.fullmatch(c)
             if m:
                 word, signs = m.groups()
-                ids = self.merges(word.lower().encode() + b"\xff") if word else []
-                out[c] = array(code, ids + self.merges(signs.encode() + b"\xff") if signs else ids).tobytes()
+                ids = merges(word.lower().encode() + b"\xff") if word else []
+                out[c] = array(code, ids + merges(signs.encode() + b"\xff") if signs else ids).tobytes()
             else:
                 rest.append(c)
         if rest:
-            out.update((c, array(code, e.ids).tobytes()) for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+            out.update((c, array(code, e.ids).tobytes()) for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
         return [out[c] for c in chunks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -140,9 +144,9 @@ class SpanEncoder:
     ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
 
     def __init__(self, vocab: str):
-        self.tokenizer = load(vocab)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo = Memo(lambda chunks: [np.array(e.offsets, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)])
+        self.tokenizer = tokenizer = load(vocab)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.memo = Memo(lambda chunks: [np.array(e.offsets, "<u4").tobytes() for e in tokenizer.encode_batch(chunks, add_special_tokens=False)])
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         odd = [bool(self.ODD.search(t)) for t in texts]

@@ -84,11 +84,8 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", vocab: str = VO
     tokens = stored(encoded(df, text, key, vocab, eos).withColumn("row", F.monotonically_increasing_id()))
     order = durable(tokens.select("row", "curve", "n_tokens").filter("n_tokens > 0").repartitionByRange("curve", "row").sortWithinPartitions("curve", "row").withColumn("part", F.spark_partition_id()))
     sums = order.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each partition
-    before, base = [], 0
-    for part, n in sorted(map(tuple, sums.collect())):
-        before.append((part, base))
-        base += n
-    parts = small(df.sparkSession.createDataFrame(before, "part int, base long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = small(durable(sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("curve", "row")) - F.col("n_tokens")
     placed = order.withColumn("at", inside).join(parts, "part").select("row", (F.col("at") + F.col("base")).alias("at"))
     kind = df.schema[key].dataType.simpleString()

@@ -1,9 +1,11 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, on small tables."""
 
 import collections
+import gc
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -149,6 +151,21 @@ def hostile_texts(n, seed):
     return HOSTILE + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("make", [lambda: encoding.WordEncoder(packing.VOCAB), lambda: encoding.SpanEncoder(token_counts.VOCAB)])
+def test_encoders_go_with_their_task(make):
+    """An encoder and its memo are freed when the task lets go of them, not when the garbage collector comes."""
+    gc.collect()
+    gc.disable()
+    try:
+        encoder = make()
+        list(encoder.memo.of_many([["some", "words"]]))
+        gone = weakref.ref(encoder), weakref.ref(encoder.memo)
+        del encoder
+        assert [r() for r in gone] == [None, None]
+    finally:
+        gc.enable()
+
+
 def test_encoders_are_exact():
     """Memoised chunks give the ids and spans of the whole text, whatever it holds."""
     texts = hostile_texts(1500, 3)
