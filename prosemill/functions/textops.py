@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +72,14 @@ def strip_urls(text: Column) -> Column:
     return text
 
 
+_REFERS = re.compile(r"\\[1-9k]|\(\?<[A-Za-z]")
+
+
 def matches(text: Column, patterns: list[str]) -> Column:
-    """Whether any of the patterns matches; false without patterns."""
+    """Whether any of the patterns matches; false without patterns. One alternation, unless groups are referred to."""
     out = F.lit(False)
+    if len(patterns) > 1 and not any(_REFERS.search(p) for p in patterns):
+        patterns = ["|".join(f"(?:{p})" for p in patterns)]
     for p in patterns:
         out = out | text.rlike(java(p))
     return out

@@ -89,3 +89,42 @@ def test_stream_gives_the_same_findings(spark, tmp_path):
     (tmp_path / "in/a.md").write_text("ここはTODOです。", encoding="utf-8")
     stream_findings(stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), PLACEHOLDER).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("line", "column").collect() == [(1, 4)]
+
+
+def test_alternations_pass_over_other_scripts():
+    import re
+
+    from prosemill.functions.jsregex import any_literal, any_pattern, heads
+
+    words = ["近年", "DX", "AI", "(現在)"]
+    assert any_literal(words).startswith("(?=[") and any_literal(["近年"]) == "近年" and any_literal([]) is None
+    text = "AIと近年のDX、(現在)とBX、aiの現在"
+    assert re.findall(any_literal(words), text) == ["AI", "近年", "DX", "(現在)"]
+    assert heads("(?:検討|対応)(?:する)?|[あ|い]う") is None and heads("(?:検討|対応)(?:する)?|あ[|い]") == set("検対あ")
+    assert heads("(?:再|要)?検討") is None and heads("あ?い") is None and heads("(?:あ|)い") is None
+    assert re.findall(any_pattern(["どんな.{1,3}でも", "常に"]), "どんな時でも常にない") == ["どんな時でも", "常に"]
+
+
+def test_a_long_line_before_a_match_takes_linear_time(spark):
+    """The start of a match's line was looked for from every place of the text before it."""
+    import time
+
+    texts = {str(i): "word " * 40000 + "\n\n承知しました。窓口まで連絡をください。" for i in range(4)}
+    spark.range(1).count()
+    began = time.time()
+    assert found(spark, {"a": "承知しました。"}, _only("chat-response-leakage")) == [("a", 1, 1, 0, 6)]
+    short = time.time() - began
+    began = time.time()
+    assert found(spark, texts, _only("chat-response-leakage")) == [(k, 3, 1, 200002, 6) for k in sorted(texts)]
+    assert time.time() - began < short + 20
+
+
+def test_matches_is_one_alternation_unless_groups_are_referred_to(spark):
+    from pyspark.sql import functions as F
+
+    from prosemill.functions.textops import matches
+
+    df = spark.createDataFrame([("aXb",), ("cc",), ("Ab",)], "t string")
+    got = lambda ps: [r[0] for r in df.select(matches(F.col("t"), ps)).collect()]
+    assert got(["(?i)ab", "X"]) == [True, False, True] and got([r"(a)b", r"(c)\1"]) == [False, True, False] and got([]) == [False] * 3
+    assert str(matches(F.col("t"), ["a", "b"])).lower().count("rlike") == 1
